@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from terrapart.llm.chat_format import OP7_SQL, op7_chat_format
 from terrapart.llm.quality_rules import OP1_SQL, op1_quality_rules
+from terrapart.llm.sharding import op2_sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_sharding": op2_sharding,
+        "op7_chat_format": op7_chat_format,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op7_chat_format": OP7_SQL}
