@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from terrapart.llm.chat_format import OP7_SQL, op7_chat_format
 from terrapart.llm.quality_rules import OP1_SQL, op1_quality_rules
+from terrapart.llm.secrets import op5_secrets
 from terrapart.llm.sharding import op2_sharding
+from terrapart.llm.word_bpe import op6_bpe
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
+        "op5_secrets": op5_secrets,
+        "op6_bpe": op6_bpe,
         "op7_chat_format": op7_chat_format,
     }
 
