@@ -6,6 +6,7 @@ from terrapart.llm.chat_format import OP7_SQL, op7_chat_format
 from terrapart.llm.quality_rules import OP1_SQL, op1_quality_rules
 from terrapart.llm.secrets import op5_secrets
 from terrapart.llm.sharding import op2_sharding
+from terrapart.llm.simhash import op8_simhash
 from terrapart.llm.token_file import op3_token_file
 from terrapart.llm.word_bpe import op6_bpe
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op5_secrets": op5_secrets,
         "op6_bpe": op6_bpe,
         "op7_chat_format": op7_chat_format,
+        "op8_simhash": op8_simhash,
     }
 
 
