@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terrapart.llm.chat_format import OP7_SQL, op7_chat_format
 from terrapart.llm.quality_rules import OP1_SQL, op1_quality_rules
+from terrapart.llm.repeats import op9_repeats
 from terrapart.llm.secrets import op5_secrets
 from terrapart.llm.sharding import op2_sharding
 from terrapart.llm.simhash import op8_simhash
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op6_bpe": op6_bpe,
         "op7_chat_format": op7_chat_format,
         "op8_simhash": op8_simhash,
+        "op9_repeats": op9_repeats,
     }
 
 
