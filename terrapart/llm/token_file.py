@@ -17,6 +17,7 @@ place; a special token inside a text becomes its id, as in the library; an empty
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,10 +34,19 @@ from terrapart.llm.common import scratch_path, slices, text_of
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
-CACHE_WORDS = 400_000
-#: The cut of byte-level vocabularies, in classes that agree with the library's on Latin texts.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-UNSAFE = re.compile("[^\\x00-\\x1b\\x20-ɏ]|[²³¹¼-¾]|<\\|")
+#: Words remembered in each of two generations; what is still in use moves on to the newer one.
+CACHE_WORDS = 300_000
+SLICE_CHARS = 2_000_000
+#: What a plain text must not hold: other white space, runs of white space, apostrophes, opened special tokens.
+BREAKS = ["  ", " \n", "\n ", "\n\n", "'", "<|", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+#: Beyond ASCII, anything but letters of the Latin ranges.
+BEYOND = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
+#: Classes of bytes; those of a character beyond ASCII count as letters.
+SPACE, BREAK, LETTER, DIGIT, SIGN = range(5)
+CLASS = np.full(256, SIGN, np.uint8)
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+CLASS[48:58], CLASS[32], CLASS[10] = DIGIT, SPACE, BREAK
+SPACED = re.compile(rb" [A-Za-z\x80-\xff]+").fullmatch
 
 LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
 SEGMENT = pa.schema(
@@ -52,26 +62,102 @@ def default_path() -> str:
 
 
 class Encoder:
-    """The library's encoding of whole texts; words of plain Latin texts are encoded once and remembered."""
+    """The library's encoding of whole texts; words of plain texts are encoded once and remembered.
+
+    A text is plain if it has single spaces and line breaks between other characters, no apostrophe, no opening
+    of a special token, and beyond ASCII only Latin letters. Its cut is then a matter of character classes, and
+    many texts are cut at once on their bytes: a word begins where the class changes, a space belongs to what
+    follows. Words are told apart by a 64-bit hash of their bytes and length; those not seen before go to the
+    library, many in a row. Other texts go to the library whole.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [None if UNSAFE.search(t) else WORDS.findall(t) for t in texts]
-        seen = self.seen
-        fresh = list({w for cut in cuts if cut for w in cut if w not in seen})
-        if len(seen) + len(fresh) > CACHE_WORDS:
-            seen.clear()
-            fresh = list({w for cut in cuts if cut for w in cut})
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.seen: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
+        self.mixed = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64)
+        self.up, self.down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: dict[int, bytes]) -> None:
+        """Remember words: rows of words that are a space and letters at once, others one by one."""
+        plain = {h: w for h, w in words.items() if SPACED(w)}
+        hashes, texts = list(plain), [w.decode() for w in plain.values()]
+        for at in range(0, len(texts), 4000):
+            ids = np.array(self.library.encode_batch_fast(["".join(texts[at : at + 4000])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.nonzero(self.opens[ids])[0] * 4).tolist()
+            data = ids.tobytes()
+            self.seen.update(zip(hashes[at : at + 4000], [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
+        rest = [h for h in words if h not in plain]
+        for h, got in zip(rest, self.library.encode_batch_fast([words[h].decode() for h in rest], add_special_tokens=False), strict=True):
+            self.seen[h] = np.array(got.ids, "<u4").tobytes()
+
+    def powers(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < size:
+            odd = 0x9E3779B97F4A7C15
+            for name, factor in (("up", odd), ("down", pow(odd, -1, 2**64))):
+                steps = np.full(1 << size.bit_length(), factor, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
+        return self.up[:size], self.down[:size]
+
+    def plain_ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = b"".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        kind = CLASS[data]
+        begins = np.empty(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE) | (kind[1:] == BREAK)
+        begins[firsts] = True
+        starts = np.nonzero(begins)[0]
+        ends = np.append(starts[1:], len(data))
+        up, down = self.powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.mixed[data] * up[:-1], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9FB21C651E98DF25)
+        marks, where, back = np.unique(h, return_index=True, return_inverse=True)
+        names = marks.tolist()
+        if len(self.seen) > CACHE_WORDS:
+            self.older, self.seen = self.seen, {}
+        seen, older = self.seen, self.older
+        seen.update((name, older[name]) for name in names if name not in seen and name in older)
+        fresh = [k for k, name in enumerate(names) if name not in seen]
         if fresh:
-            for word, got in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                seen[word] = np.array(got.ids, "<u4").tobytes()
-        whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if cut is None else b"".join([seen[w] for w in cut]) for t, cut in zip(texts, cuts, strict=True)]
+            at = where[fresh]
+            self.learn({names[k]: raw[a:b] for k, a, b in zip(fresh, starts[at].tolist(), ends[at].tolist(), strict=True)})
+        found = [seen[name] for name in names]
+        lengths = np.array([len(f) for f in found], np.int64) // 4
+        offsets = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(found), "<u4")
+        count = lengths[back]
+        total = np.cumsum(count)
+        ids = flat[np.repeat(offsets[back] - (total - count), count) + np.arange(total[-1])]
+        return np.split(ids, (total - count)[np.searchsorted(starts, firsts[1:])])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        easy = [k for k, t in enumerate(texts) if plain(t)]
+        out: list = [None] * len(texts)
+        if easy:
+            for k, ids in zip(easy, self.plain_ids([texts[k].encode() for k in easy]), strict=True):
+                out[k] = ids
+        return [self.whole(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+
+
+def plain(text: str) -> bool:
+    """Whether the cut of a text follows from its bytes' classes (see Encoder)."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in BREAKS):
+        return False
+    return text.isascii() or not BEYOND.search(text)
 
 
 @lru_cache(maxsize=4)
@@ -131,21 +217,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         def flush() -> pa.RecordBatch:
             nonlocal number, start, ids, held, rows
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             row = {"part": part, "segment": number, "start": start, "n_tokens": len(flat), "doc_ids": [i for i, _ in rows], "doc_tokens": [n for _, n in rows], "levels": pack(flat)}
             number, start, ids, held, rows = number + 1, start + len(flat), [], 0, []
             return pa.RecordBatch.from_pylist([row], SEGMENT)
 
-        end = int(end_id).to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_CHARS):
                 for key, got in zip(keys[a:b], own.encode(texts[a:b]), strict=True):
-                    if held and held + len(got) // 4 >= segment_tokens:
+                    if held and held + len(got) >= segment_tokens:
                         yield flush()
-                    ids.append(got + end)
-                    held += len(got) // 4 + 1
-                    rows.append((key, len(got) // 4 + 1))
+                    ids += [got, end]
+                    held += len(got) + 1
+                    rows.append((key, len(got) + 1))
         if rows:
             yield flush()
 
