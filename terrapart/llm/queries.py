@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from terrapart.llm.chat_format import OP7_SQL, op7_chat_format
+from terrapart.llm.decontaminate import op10_decontamination
 from terrapart.llm.quality_rules import OP1_SQL, op1_quality_rules
 from terrapart.llm.repeats import op9_repeats
 from terrapart.llm.secrets import op5_secrets
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op7_chat_format": op7_chat_format,
         "op8_simhash": op8_simhash,
         "op9_repeats": op9_repeats,
+        "op10_decontamination": op10_decontamination,
     }
 
 
