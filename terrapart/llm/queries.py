@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terrapart.llm.chat_format import OP7_SQL, op7_chat_format
 from terrapart.llm.decontaminate import op10_decontamination
+from terrapart.llm.line_dedup import op4_line_dedup
 from terrapart.llm.quality_rules import OP1_SQL, op1_quality_rules
 from terrapart.llm.repeats import op9_repeats
 from terrapart.llm.secrets import op5_secrets
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
         "op3_token_file": op3_token_file,
+        "op4_line_dedup": op4_line_dedup,
         "op5_secrets": op5_secrets,
         "op6_bpe": op6_bpe,
         "op7_chat_format": op7_chat_format,
