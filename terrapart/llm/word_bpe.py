@@ -6,8 +6,8 @@ numpy: a pair is compatible if no merge across its border would have come before
 two tokens. A proposal whose pairs are all compatible is the exact encoding; only failing words are merged
 exactly. Decoding joins token strings with a space, as the library does for a file without a decoder.
 
-Scale: one pass, no shuffle. Each Python worker keeps encodings of words it has seen, up to CACHE_WORDS; the
-cache only saves time. Texts are read whole.
+Scale: one pass, no shuffle. Each Python worker keeps encodings of pieces between white space, bounded
+in number; the cache only saves time. Texts are read whole.
 
 Edge cases: null text is empty: no tokens, empty string; the file's special tokens inside a text become their
 ids, as in the library; texts with characters outside the Latin range are normalised and cut by the library.
@@ -15,20 +15,24 @@ ids, as in the library; texts with characters outside the Latin range are normal
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapart.llm.common import text_of
+from terrapart.llm.common import slices, text_of
 
-CACHE_WORDS = 400_000
+#: Pieces remembered in each of two generations; what is still in use moves on to the newer one.
+CACHE_UNITS = 200_000
+SLICE_CHARS = 2_000_000
 #: Words of a normalised Latin text: contractions, letters, single digits, other signs.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters on which Python's classes and the library's may differ; such texts take the library's own cut.
@@ -66,6 +70,7 @@ class Codec:
         self.token = [""] * size
         for text, i in [*self.vocab.items(), *self.special.items()]:
             self.token[i] = text
+        self.decimal = [str(i) for i in range(size)]
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         self.rank = np.full(size, -1, np.int64)
@@ -81,9 +86,14 @@ class Codec:
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.chars = byte_chars()
         self.table = str.maketrans({chr(b): c for b, c in self.chars.items()})
+        self.made = np.array([k for _, k in self.merges.values()], np.int64)
+        self.inner_of, self.final_of = np.zeros(512, np.int64), np.zeros(512, np.int64)
+        for c in self.chars.values():
+            self.inner_of[ord(c)], self.final_of[ord(c)] = self.vocab[c], self.vocab[c + self.suffix]
         self.inner, self.final = self.reachable()
         self.longest = max(map(len, [*self.inner, *self.final]), default=1)
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def reachable(self) -> tuple[dict[str, int], dict[str, int]]:
         """Tokens that are the exact encoding of their own string, within words and at their ends."""
@@ -130,11 +140,12 @@ class Codec:
         """Greedy longest match; None if it gets stuck."""
         out, at, end = [], 0, len(word)
         inner, final, longest = self.inner, self.final, self.longest
+        last = end - 1 if self.suffix else end
         while at < end:
             if end - at <= longest and (i := final.get(word[at:])) is not None:
                 out.append(i)
                 return out
-            for stop in range(min(end - 1 if self.suffix else end, at + longest), at, -1):
+            for stop in range(min(last, at + longest), at, -1):
                 if (i := inner.get(word[at:stop])) is not None:
                     out.append(i)
                     at = stop
@@ -143,23 +154,37 @@ class Codec:
                 return None
         return out
 
-    def merged(self, word: str) -> list[int]:
-        """Exact merging: again and again the leftmost pair of the lowest rank."""
-        ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
-        while len(ids) > 1:
-            best = min((self.merges.get(pair, (NEVER, -1)) for pair in zip(ids, ids[1:], strict=False)), key=lambda m: m[0])
-            if best[1] < 0:
-                return ids
-            out, at = [], 0
-            while at < len(ids):
-                if at + 1 < len(ids) and self.merges.get((ids[at], ids[at + 1])) == best:
-                    out.append(best[1])
-                    at += 2
-                else:
-                    out.append(ids[at])
-                    at += 1
-            ids = out
-        return ids
+    def merged(self, words: list[str]) -> list[np.ndarray]:
+        """Exact merging of many words at once: in each round every word merges its pair of lowest rank."""
+        codes = np.frombuffer("".join(words).encode("utf-16-le"), "<u2")
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        tokens = self.inner_of[codes]
+        tokens[ends - 1] = self.final_of[codes[ends - 1]]
+        out: list = [None] * len(words)
+        owner = np.arange(len(words))
+        while len(owner):
+            word = np.repeat(np.arange(len(owner)), sizes)
+            starts = np.cumsum(sizes) - sizes
+            rank = np.full(len(tokens), NEVER)
+            inside = np.nonzero(word[1:] == word[:-1])[0]
+            rank[inside] = self.pair_rank(tokens[inside], tokens[inside + 1])
+            low = np.minimum.reduceat(rank, starts)
+            ready = low >= NEVER
+            for k in np.nonzero(ready)[0].tolist():
+                out[owner[k]] = tokens[starts[k] : starts[k] + sizes[k]]
+            hit = np.nonzero((rank == low[word]) & (rank < NEVER))[0]
+            # In a row of one repeated token the pairs overlap; the leftmost goes first, then every second.
+            first = np.concatenate([[True], np.diff(hit) > 1]) if len(hit) else np.zeros(0, bool)
+            lead = hit[first][np.cumsum(first) - 1]
+            hit = hit[(hit - lead) % 2 == 0]
+            tokens = tokens.copy()
+            tokens[hit] = self.made[rank[hit]]
+            stay = ~ready[word]
+            stay[hit + 1] = False
+            sizes = np.bincount(word[stay], minlength=len(owner))[~ready]
+            owner, tokens = owner[~ready], tokens[stay]
+        return out
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids (little-endian 32-bit) of distinct words in byte characters."""
@@ -172,7 +197,12 @@ class Codec:
             inside = np.nonzero(owner[1:] == owner[:-1])[0]
             bad = ~self.compatible(flat[inside], flat[inside + 1])
             failed[owner[inside[bad]]] = True
-        return {w: np.array(self.merged(w) if f else p, "<u4").tobytes() for w, p, f in zip(words, proposals, failed.tolist(), strict=True)}
+        data, cuts = flat.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(lengths)])).tolist()
+        found = {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
+        redo = [w for w, f in zip(words, failed.tolist(), strict=True) if f]
+        if redo:
+            found.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(redo, self.merged(redo), strict=True))
+        return found
 
     def cut(self, text: str) -> list[str]:
         """Words of a text without special tokens, in byte characters or, if ASCII, as they are."""
@@ -184,17 +214,28 @@ class Codec:
             text = unicodedata.normalize("NFC", text)
         return [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in WORDS.findall(text.lower())]
 
+    def units(self, text: str) -> list[str]:
+        """Pieces that are cut alike alone: what stands between white space, in lower case; or one unsafe text."""
+        if UNSAFE.search(text):
+            return [text]
+        return text.lower().split() if text.isascii() else unicodedata.normalize("NFC", text).lower().split()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        pieces = [self.splitter.split(t) if "<" in t else [t] for t in texts]
-        parts = [[np.array([self.special[p]], "<u4").tobytes() if p in self.special else self.cut(p) for p in row] for row in pieces]
-        fresh = list({w for row in parts for p in row if isinstance(p, list) for w in p if w not in self.seen})
-        if len(self.seen) + len(fresh) > CACHE_WORDS:
-            self.seen.clear()
-            fresh = list({w for row in parts for p in row if isinstance(p, list) for w in p})
-        self.seen |= self.encode_words(fresh)
-        seen = self.seen
-        return [b"".join([p if isinstance(p, bytes) else b"".join([seen[w] for w in p]) for p in row]) for row in parts]
+        pieces = [self.splitter.split(t) if "<|" in t else [t] for t in texts]
+        parts = [[np.array([self.special[p]], "<u4").tobytes() if p in self.special else self.units(p) for p in row] for row in pieces]
+        if len(self.seen) > CACHE_UNITS:
+            self.older, self.seen = self.seen, {}
+        seen, older = self.seen, self.older
+        fresh = set(chain.from_iterable(p for row in parts for p in row if isinstance(p, list))).difference(seen)
+        seen.update((u, older[u]) for u in fresh if u in older)
+        fresh.difference_update(seen)
+        if fresh:
+            cuts = [(u, self.cut(u)) for u in fresh]
+            words = self.encode_words(list(set(chain.from_iterable(c for _, c in cuts))))
+            seen.update((u, words[c[0]] if len(c) == 1 else b"".join([words[w] for w in c])) for u, c in cuts)
+        get = seen.__getitem__
+        return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in row]) for row in parts]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.token[i] for i in ids])
@@ -210,8 +251,6 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from terrapart.llm.common import slices
-
         own = codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
@@ -244,13 +283,23 @@ def decode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    done = decode_documents(encode_documents(docs.select("doc_id", "text"), path), path)
-    return done.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded and decoded again in one pass."""
+    path = path or default_path()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts, SLICE_CHARS):
+                ids = [np.frombuffer(e, "<u4").tolist() for e in own.encode_batch(texts[a:b])]
+                told = [sha(" ".join([own.decimal[i] for i in row])) for row in ids]
+                back = [sha(own.decode(row)) for row in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(len, ids), pa.int64()), pa.array(told), pa.array(back)], names=names)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return source.mapInArrow(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
