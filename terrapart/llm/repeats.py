@@ -36,7 +36,8 @@ LENGTH = 400
 GRAM = 128
 HOT = 1024
 OFFSET_BLOCK = 32
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 2_000_000
+SLICE_CHARS = 1_000_000
 
 RUN = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("h", pa.int64())])
 
@@ -64,7 +65,7 @@ def rolling(data: np.ndarray, width: int, seed: int) -> np.ndarray:
     n = len(data)
     if n < width:
         return np.zeros(0, np.uint64)
-    up, down = powers(seed, max(1 << 22, 1 << (n - 1).bit_length()))
+    up, down = powers(seed, max(1 << 20, 1 << (n - 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(table(seed)[data] * up[:n], out=sums[1:])
     h = (sums[width:] - sums[: n - width + 1]) * down[: n - width + 1]
@@ -119,7 +120,7 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
         names = ["doc_id", "content", "n_bytes", "runs"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_CHARS):
                 part = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
                 content = pa.array([hashlib.sha256(t).digest() for t in part], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), content, pa.array([len(t) for t in part], pa.int64()), anchor_runs(part, length, gram)], names=names)
