@@ -32,15 +32,19 @@ RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def repeat_words(words: Column) -> Column:
-    """Words that lie in three-word windows found twice or more among words (a column, not an expression)."""
-    windows = F.when(
-        F.size(words) >= 3,
-        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i"))),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    twice = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])))
-    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
-    gaps = let(places, lambda p: F.transform(p, lambda v, i: F.least(F.lit(3), v - F.get(p, i - 1))))
-    return F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap).cast("long")
+    """Words that lie in three-word windows found twice or more among words."""
+
+    def covered(w: Column) -> Column:
+        windows = F.when(
+            F.size(w) >= 3,
+            F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i"))),
+        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+        twice = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])))
+        places = F.sort_array(F.transform(twice, lambda x: x["i"]))
+        gaps = let(places, lambda p: F.transform(p, lambda v, i: F.least(F.lit(3), v - F.get(p, i - 1))))
+        return F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap).cast("long")
+
+    return let(words, covered)
 
 
 def normalised(line: Column) -> Column:
@@ -141,6 +145,11 @@ def quality_rules(docs: DataFrame, max_line_docs: int = 20, max_line_percent: fl
     )
 
 
+def passed(scored: DataFrame) -> DataFrame:
+    """The kept rows. The condition is opaque on purpose, or the planner would move it below the join and compute the statistics a second time."""
+    return scored.filter(F.when(F.rand(0) >= 0, F.col("kept")))
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).select("doc_id", *RESULTS)
