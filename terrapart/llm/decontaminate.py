@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,19 +199,20 @@ def indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[In
         yield Index(sorted({(r.item_id, r.text) for r in rows}, key=lambda r: (r[0] is None, r)))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs with ``leaks``: array of the verified items with their scores (an input column of that name is replaced)."""
-    found: list[Column] = []
-    for index in indexes(benchmark, index_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+def searched(text: Column, index: Broadcast, retrieve: float, overlap: float) -> Column:
+    @F.arrow_udf(HITS)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = batch.to_pylist()
+            yield pa.array([hits for a, b in slices(texts, 1_000_000) for hits in index.value.hits(texts[a:b], retrieve, overlap)], HIT)
+
+    return search(text)
 
-        @F.arrow_udf(HITS)
-        def search(batches: Iterator[pa.Array], held=held) -> Iterator[pa.Array]:
-            for batch in batches:
-                texts = batch.to_pylist()
-                yield pa.array([hits for a, b in slices(texts, 1_000_000) for hits in held.value.hits(texts[a:b], retrieve, overlap)], HIT)
 
-        found.append(search(text_of()))
+def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """docs with ``leaks``: array of the verified items with their scores (an input column of that name is replaced)."""
+    context = docs.sparkSession.sparkContext
+    found = [searched(text_of(), context.broadcast(index), retrieve, overlap) for index in indexes(benchmark, index_bytes)]
     return docs.withColumn("leaks", F.concat(*found))
 
 
