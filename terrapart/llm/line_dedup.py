@@ -3,17 +3,18 @@
 Lines are normalised (lower case, single spaces); equal lines are one node. A line's character shingles are
 hashed once each and dealt into bins, whose minima are its signature (empty bins borrow from others); groups
 of bins form bands, and lines that share a band are candidates. Each candidate is compared with the smallest
-member of its bucket by the exact Jaccard index of the shingle sets. Pairs that this leaves apart are compared
-where the triangle inequality of the Jaccard distance still allows a link. Verified links are joined by
-distributed union-find, and the first occurrence (by doc_id, then line) of each component is kept.
+member of its bucket by the exact Jaccard index of the shingle sets. Members that are then still apart from
+their bucket's smallest are compared with a leader of every other component among them. Verified links are
+joined by distributed union-find, and the first occurrence (by doc_id, then line) of each component is kept.
 
 Scale: the texts are signed in one pass; bands travel as pairs of 64-bit numbers, sorted and streamed, so a
 bucket never has to fit in memory, and an equal line is sent once by each task however often it occurs. Texts
 of candidates are fetched by one join. Comparisons of a smallest member with many lines are spread over salts.
 No bucket, partner or candidate is capped.
 
-Limits: two lines with Jaccard index 0.8 share a band with probability about 0.98, more above it. Lines are
-told apart by 64-bit hashes.
+Limits: two lines with Jaccard index 0.8 share a band with probability about 0.98, more above it; two lines
+that share a band but are unlike the smallest member and all leaders they meet, in every band, stay apart.
+Lines are told apart by 64-bit hashes.
 
 Edge cases: null text is empty; blank lines are no lines and go only when other lines of their text go; lines
 shorter than a shingle are one shingle; rows repeated in full count as one document; null doc_ids come first;
@@ -200,16 +201,40 @@ def candidate_lines(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFr
     return met.select(F.explode(lines).alias("l")).select("l.id", "l.line")
 
 
-def leftover_pairs(stars: DataFrame, told: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """Pairs of a bucket that are still in different components and may be linked by the triangle inequality."""
+def leftovers(stars: DataFrame, told: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, c, id) of bucket members whose component c is not that of their hub."""
     root = lambda column: roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
-    rows = stars.join(told, ["id", "hub"]).join(root("id"), "id", "left").join(root("hub"), "hub", "left")
-    rows = rows.select("band", "id", F.coalesce("id_root", "id").alias("c"), F.coalesce("hub_root", "hub").alias("hc"), (1 - F.col("similar")).alias("d"))
-    apart = rows.filter("c <> hc")
-    other = rows.select("band", F.col("id").alias("hub"), F.col("c").alias("oc"), F.col("hc").alias("ohc"), F.col("d").alias("od"))
-    reach = 1 - similar + 1e-9
-    near = apart.join(other, "band").filter((F.col("c") != F.col("oc")) & (F.abs(F.col("d") - F.col("od")) <= reach) & ((F.col("oc") == F.col("ohc")) | (F.col("id") < F.col("hub"))))
-    return near.select("id", "hub").distinct()
+    rows = stars.join(told.select("id", "hub"), ["id", "hub"]).join(root("id"), "id", "left").join(root("hub"), "hub", "left")
+    rows = rows.select("band", "id", F.coalesce("id_root", "id").alias("c"), F.coalesce("hub_root", "hub").alias("hc"))
+    return rows.filter("c <> hc").select("band", "c", "id")
+
+
+def led(rest: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) among the leftovers of each bucket.
+
+    The first member of each component leads it; every member is compared with the leaders of the other
+    components. Buckets stream by, and only leaders are held.
+    """
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leaders = None, {}
+        for batch in batches:
+            found = []
+            for band, c, i, line in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if band != last:
+                    last, leaders = band, {}
+                own = shingle_set(normalised(line))
+                for other, (leader, held) in leaders.items():
+                    if other != c and min(len(own), len(held)) >= similar * max(len(own), len(held)):
+                        common = len(own & held)
+                        if common >= similar * (len(own) + len(held) - common):
+                            found.append((i, leader))
+                leaders.setdefault(c, (i, own))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=out)
+
+    dealt = rest.join(lines, "id").select("band", "c", "id", "line").repartition("band").sortWithinPartitions("band", "c", "id")
+    return dealt.mapInArrow(rows, "a bigint, b bigint")
 
 
 def line_components(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -225,10 +250,9 @@ def line_components(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     told = written(compared(pairs, lines), "lines-compared")
     links = told.filter(F.col("similar") >= similar).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     roots = components(links)
-    more = written(leftover_pairs(stars, told, roots, similar), "lines-leftover")
-    if more.limit(1).count():
-        again = written(compared(more, lines), "lines-compared-again").filter(F.col("similar") >= similar)
-        roots = components(links.unionByName(again.select(F.col("id").alias("a"), F.col("hub").alias("b"))))
+    rest = written(leftovers(stars, told, roots), "lines-leftover")
+    more = written(led(rest, lines, similar), "lines-led")
+    roots = components(links.unionByName(more))
     release(docs.sparkSession)
     return marked, first, written(roots, "lines-roots")
 
