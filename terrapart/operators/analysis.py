@@ -23,10 +23,10 @@ def config_id(columns: Sequence[str] = CONFIG) -> Column:
 
 def config_grid(spark, axes: dict[str, Sequence]) -> DataFrame:
     """All combinations of the axes' values with run_id from 1 in the order of the axes; axes are literals."""
-    out = None
+    out = spark.range(1).select()
     for place, (name, values) in enumerate(axes.items()):
-        axis = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"__o{place} int, {name} {'string' if isinstance(values[0], str) else 'double' if isinstance(values[0], float) else 'long'}")
-        out = axis if out is None else out.crossJoin(axis)  # literal axes only
+        options = F.array(*[F.struct(F.lit(i).alias(f"__o{place}"), F.lit(v).alias(name)) for i, v in enumerate(values)])
+        out = out.select("*", F.explode(options).alias("__x")).select(*out.columns, "__x.*")
     order = Window.orderBy(*[f"__o{p}" for p in range(len(axes))])
     return out.withColumn("run_id", F.row_number().over(order).cast("long")).drop(*[f"__o{p}" for p in range(len(axes))])
 
@@ -211,14 +211,14 @@ def paired_differences(pairs: DataFrame) -> DataFrame:
 
 
 def paired_tests(pairs: DataFrame) -> DataFrame:
-    """p-values of each pair of configurations; a group holds one difference for each seed."""
+    """p-values of each pair of configurations; a group holds the pairs of one left configuration and metric."""
     from terrapart.functions.stats import paired_pvalues
 
     def test(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        return pd.DataFrame([{"cfg_a": first.cfg_a, "cfg_b": first.cfg_b, "metric": first.metric} | paired_pvalues(group.d.to_numpy())])
+        found = [{"cfg_b": b, **paired_pvalues(part.to_numpy())} for b, part in group.groupby("cfg_b").d]
+        return pd.DataFrame(found).assign(cfg_a=group.cfg_a.iloc[0], metric=group.metric.iloc[0])[["cfg_a", "cfg_b", "metric", "paired_t_p", "wilcoxon_stat", "wilcoxon_p"]]
 
-    return pairs.groupBy("cfg_a", "cfg_b", "metric").applyInPandas(test, "cfg_a string, cfg_b string, metric string, paired_t_p double, wilcoxon_stat double, wilcoxon_p double")
+    return pairs.groupBy("cfg_a", "metric").applyInPandas(test, "cfg_a string, cfg_b string, metric string, paired_t_p double, wilcoxon_stat double, wilcoxon_p double")
 
 
 def best_so_far(history: DataFrame, value: str = "fitness", by: Sequence[str] = (), order: str = "iteration") -> DataFrame:

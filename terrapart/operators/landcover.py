@@ -111,7 +111,7 @@ def cluster_distribution(rows: DataFrame, cluster_id, cluster: str = "cluster",
 def contingency(rows: DataFrame, normalize: str | None = None, cluster: str = "cluster", cls: str = "clc_group", classes: Sequence[str] | None = None) -> DataFrame:
     """Clusters by classes: counts, or shares of the row (index), the column (columns) or the table (all)."""
     present = rows.filter(F.col(cluster).isNotNull() & F.col(cls).isNotNull())
-    table = present.groupBy(cluster).pivot(cls, list(classes) if classes else None).agg(F.count("*")).na.fill(0)
+    table = present.groupBy(cluster).pivot(cls, list(classes) if classes else None).agg(F.count(F.lit(1))).na.fill(0)
     names = [c for c in table.columns if c != cluster]
     if normalize is None:
         return table
