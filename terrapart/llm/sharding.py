@@ -32,7 +32,7 @@ RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 def key_shard(key: Column, shards: int, seed: int) -> Column:
     """The shard with the largest seeded hash of key; a further shard only wins rows for itself."""
     bids = [F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("bid"), F.lit(s).alias("shard")) for s in range(shards)]
-    return F.greatest(*bids)["shard"]
+    return F.greatest(*bids, *bids[:1])["shard"]
 
 
 def record_size(text: Column) -> Column:
@@ -82,8 +82,14 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
+def read_shards(spark, path: str, like: DataFrame) -> DataFrame:
+    """The written shards, with the columns of ``like``; also where nothing was written."""
+    return spark.read.schema(like.schema).parquet(path)
+
+
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = scratch_path(spark, "shards")
-    write_shards(shard_documents(docs), path)
-    return spark.read.parquet(path).select("doc_id", *RESULTS)
+    sharded = shard_documents(docs)
+    write_shards(sharded, path)
+    return read_shards(spark, path, sharded).select("doc_id", *RESULTS)
