@@ -206,7 +206,8 @@ def searched(text: Column, index: Broadcast, retrieve: float, overlap: float) ->
             texts = batch.to_pylist()
             yield pa.array([hits for a, b in slices(texts, 1_000_000) for hits in index.value.hits(texts[a:b], retrieve, overlap)], HIT)
 
-    return search(text)
+    # Not declared deterministic, so that the planner leaves the search where it is and runs it once a row.
+    return search.asNondeterministic()(text)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
