@@ -211,12 +211,13 @@ def mixed_fitness(term: DataFrame, term_column: str, spatial: DataFrame, term_we
 def adjusted_rand(rows: DataFrame, one: str, two: str) -> DataFrame:
     """One row: adjusted Rand index of two labelings; 1 where both put all rows into one cluster."""
     pairs = lambda n: n * (n - 1) / 2.0
-    cells = rows.filter(F.col(one).isNotNull() & F.col(two).isNotNull()).groupBy(one, two).agg(F.count("*").cast("double").alias("n"))
+    both = rows.select(F.col(one).alias("k1"), F.col(two).alias("k2"))
+    cells = both.filter("k1 IS NOT NULL AND k2 IS NOT NULL").groupBy("k1", "k2").agg(F.count("*").cast("double").alias("n"))
     side = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias(f"s_{c}"))
-    both = cells.agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("n")).join(F.broadcast(side(one))).join(F.broadcast(side(two)))  # one row each
-    a, b = F.col(f"s_{one}"), F.col(f"s_{two}")
+    sums = cells.agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("n")).join(F.broadcast(side("k1"))).join(F.broadcast(side("k2")))  # one row each
+    a, b = F.col("s_k1"), F.col("s_k2")
     expected = a * b / F.nullif(pairs(F.col("n")), F.lit(0.0))
-    return both.select(F.coalesce((F.col("s") - expected) / F.nullif((a + b) / 2.0 - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
+    return sums.select(F.coalesce((F.col("s") - expected) / F.nullif((a + b) / 2.0 - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
 
 def neighbour_support(edges: DataFrame, labels: DataFrame) -> DataFrame:
