@@ -152,10 +152,19 @@ def top_n_std(rows: DataFrame, rank_by: str, metrics: Sequence[str], key: Sequen
     return out.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("std")) for m in metrics])).alias("s")).select(*by, "n", "s.*")
 
 
+def pearson(x: str, y: str, window=None) -> Column:
+    """Correlation of two columns, over a window if given; null where one of them is constant."""
+    there = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(there, F.col(x)), F.when(there, F.col(y))
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    top, one, two = [p.over(window) for p in parts] if window is not None else parts
+    return top / F.nullif(one * two, F.lit(0.0))
+
+
 def top_n_pearson(rows: DataFrame, x: str, y: str, key: Sequence[str], group: str = "fitness_name", least: int = 20) -> DataFrame:
     order = Window.partitionBy(group).orderBy(F.asc(x), *[F.asc_nulls_last(c) for c in key])
-    pearson = F.corr(x, y).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(group, F.row_number().over(order).cast("long").alias("n"), pearson.alias("pearson")).filter(F.col("n") >= least)
+    so_far = pearson(x, y, order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(group, F.row_number().over(order).cast("long").alias("n"), so_far.alias("pearson")).filter(F.col("n") >= least)
 
 
 def average_rank(column: str, *by: str) -> Column:
@@ -173,7 +182,7 @@ def top_n_spearman(rows: DataFrame, x: str, y: str, key: Sequence[str], group: s
     ends = ranked.filter(F.col("r") >= least).select(group, F.col("r").alias("n"))
     prefix = ends.join(ranked, group).filter("r <= n")
     both = prefix.select(group, "n", average_rank(x, group, "n").alias("rx"), average_rank(y, group, "n").alias("ry"))
-    return both.groupBy(group, "n").agg(F.corr("rx", "ry").alias("spearman"))
+    return both.groupBy(group, "n").agg(pearson("rx", "ry").alias("spearman"))
 
 
 def correlations(rows: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -181,7 +190,7 @@ def correlations(rows: DataFrame, columns: Sequence[str], method: str = "pearson
     if method == "spearman":
         rows = rows.select(*[average_rank(c).alias(c) for c in columns])
     pairs = [(a, b) for a in columns for b in columns]
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(a, b).alias("r")) for a, b in pairs])
     return rows.agg(cells.alias("m")).select(F.explode("m").alias("m")).select("m.*")
 
 
