@@ -1,18 +1,21 @@
-"""Removal of long repeated byte strings.
+"""Removal of long repeated byte strings by difference-cover suffix sorting.
 
 Every byte is removed that is covered by a string of ``length`` bytes which also starts anywhere else.
-Sampling: each start (a position with ``length`` bytes after it) is represented by an anchor, the smallest
-hashed ``gram``-byte string inside its window; equal windows have equal anchors at equal offsets, so only
-starts whose anchor's string occurs twice can repeat. Sorting: the windows of such starts are brought
-together by anchor, sorted by a 128-bit rolling hash, and adjacent ones are compared; equal neighbours repeat.
+Distribution: a start (a position with ``length`` bytes after it) is dealt by its anchor, the smallest hashed
+``gram``-byte string inside its window; equal windows have equal anchors at equal offsets, so suffixes that can
+share ``length`` bytes meet in one task, and only starts whose anchor's string occurs twice are dealt at all.
+Order: each task sorts the suffixes of its stretches by the difference cover {1, 2} modulo 3: it sorts sampled
+triples, names them, recurses on the names, and merges the remaining suffixes by their first byte and the rank
+of what follows. Then it compares the ``length``-byte prefixes of adjacent starts; equal neighbours repeat.
+(One order over all suffixes of the corpus is not made: it would sort every position several times.)
 
 Steps and scale: (1) one pass over the texts writes the runs of starts that share an anchor, about one for
 every 140 bytes; (2) equal texts are counted by digest and represented once; (3) anchors that occur twice are
 found by a native count; (4) texts with such anchors, and only those rows, meet their runs and are written;
 (5) stretches of text are dealt by anchor, and an anchor with more than ``hot`` members is dealt in blocks of
-offsets; a task streams its stretches and remembers, for the key at hand, one place for each distinct window;
-(6) repeated starts become ranges of their text. Results are exact at every size up to collisions of the
-128-bit hash; nothing is capped.
+offsets; a task streams its stretches in chunks and carries, for the key at hand, one stretch for each window
+not met before; (6) repeated starts become ranges of their text. Results are exact at every size: anchors are
+hashed, but windows are compared byte by byte. Nothing is capped.
 
 Edge cases: null text is empty; texts shorter than ``length`` cannot lose bytes; matches never cross
 documents; null and repeated doc_ids are allowed, and rows repeated in full repeat each other; other columns
@@ -34,9 +37,9 @@ from terrapart.llm.common import slices, text_of, written
 
 LENGTH = 400
 GRAM = 128
-HOT = 1024
-OFFSET_BLOCK = 32
-CHUNK_BYTES = 2_000_000
+HOT = 8192
+OFFSET_BLOCK = 64
+CHUNK_BYTES = 1_500_000
 SLICE_CHARS = 1_000_000
 
 RUN = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("h", pa.int64())])
@@ -129,68 +132,129 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(rows, schema)
 
 
-def window_hashes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all starts of all pieces: piece number, offset in the piece, and two hashes of the window."""
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    firsts = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    starts = sizes - length + 1
-    piece = np.repeat(np.arange(len(pieces)), starts)
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(starts) - starts, starts)
-    at = firsts[piece] + offset
-    return piece, offset, rolling(data, length, 2)[at], rolling(data, length, 3)[at]
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Positions of an integer array in the order of their suffixes, by the difference cover {1, 2} modulo 3."""
+    n = len(symbols)
+    if n < 2:
+        return np.arange(n)
+    t = np.zeros(n + 4, np.int64)
+    t[:n] = symbols + 1
+    # The sample: positions 1 and 2 modulo 3; where n is 1 modulo 3, an empty suffix ends the first row of names.
+    at = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
+    bits = int(t.max()).bit_length()
+    if 3 * bits <= 63:
+        triple = (t[at] << (2 * bits)) | (t[at + 1] << bits) | t[at + 2]
+        order = np.argsort(triple)
+        new = np.diff(triple[order]) != 0
+    else:
+        order = np.lexsort((t[at + 2], t[at + 1], t[at]))
+        a = at[order]
+        new = (np.diff(t[a]) != 0) | (np.diff(t[a + 1]) != 0) | (np.diff(t[a + 2]) != 0)
+    name = np.empty(len(at), np.int64)
+    name[order] = np.concatenate([[0], np.cumsum(new)])
+    if not new.all():
+        order = suffix_order(name)
+        name[order] = np.arange(len(at))
+    rank = np.zeros(n + 4, np.int64)
+    rank[at] = name + 1
+    sample = at[order]
+    sample = sample[sample < n]
+    # The rest: positions 0 modulo 3, by their symbol and the rank of the suffix after it.
+    base, width = np.int64(len(at) + 2), np.int64(t.max() + 1)
+    rest = np.arange(0, n, 3)
+    key = t[rest] * base + rank[rest + 1]
+    by = np.argsort(key)
+    rest, key = rest[by], key[by]
+    ones, twos = sample[sample % 3 == 1], sample[sample % 3 == 2]
+    before = np.searchsorted(t[ones] * base + rank[ones + 1], key)
+    if int(width) * int(width) * int(base) < 2**62:
+        pair = lambda x: (t[x] * width + t[x + 1]) * base + rank[x + 2]
+        before += np.searchsorted(pair(twos), pair(rest))
+    else:  # the pair of symbols and rank as one number: ranks of the distinct pairs of both sides
+        both = np.concatenate([twos, rest])
+        _, pairs = np.unique(t[both] * width + t[both + 1], return_inverse=True)
+        keys = pairs.astype(np.int64) * base + rank[both + 2]
+        before += np.searchsorted(keys[: len(twos)], keys[len(twos) :])
+    out = np.empty(n, np.int64)
+    place = np.arange(len(rest)) + before
+    out[place] = rest
+    free = np.ones(n, bool)
+    free[place] = False
+    out[free] = sample
+    return out
+
+
+def same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the length bytes from each a equal those from each b."""
+    same = np.ones(len(a), bool)
+    if length < 8:
+        for j in range(length):
+            same &= data[a + j] == data[b + j]
+        return same
+    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
+    live = np.arange(len(a))
+    for j in [*range(0, length - 8, 8), length - 8]:
+        live = live[words[a[live] + j] == words[b[live] + j]]
+    same[:] = False
+    same[live] = True
+    return same
 
 
 class Repeats:
-    """Finds repeated windows in a stream of stretches sorted by key; the open key's windows are carried on."""
+    """Finds repeated windows in a stream of stretches sorted by key.
+
+    Of the key that a chunk ends in, stretches are carried on that hold the first of some window.
+    """
 
     def __init__(self, length: int):
         self.length = length
         self.key = None
-        self.open = None  # of the open key: hashes, then (content, start, known to repeat) of one place each
+        self.open: list[tuple[bytes, int, bytes, np.ndarray]] = []  # content, lo, piece, starts told already
 
     def found(self, keys: list, contents: list[bytes], los: list[int], pieces: list[bytes]) -> list[tuple[bytes, int, int]]:
-        piece, offset, h1, h2 = window_hashes(pieces, self.length)
-        number, numbers = np.zeros(len(keys), np.int64), {}
-        for i, key in enumerate(keys):
-            number[i] = numbers.setdefault(key, len(numbers))
-        group = number[piece]
-        old = 0
-        if self.open is not None and self.key in numbers:
-            o1, o2, places = self.open
-            old = len(o1)
-            h1, h2 = np.concatenate([o1, h1]), np.concatenate([o2, h2])
-            group = np.concatenate([np.full(old, numbers[self.key]), group])
-        else:
-            places = []
-        order = np.lexsort((h2, h1, group))
-        same = (group[order][1:] == group[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-        twice = np.zeros(len(order), bool)
+        """(content, first, last) of repeated starts not told before."""
+        length, out = self.length, []
+        held = list(self.open) if self.key == keys[0] else []
+        owners = [keys[0]] * len(held)
+        whole = [False] * len(held)
+        index = {piece: k for k, (_, _, piece, _) in enumerate(held)}
+        for key, content, lo, piece in zip(keys, contents, los, pieces, strict=True):
+            k = index.setdefault(piece, len(held))
+            if k == len(held):
+                held.append((content, lo, piece, np.zeros(len(piece) - length + 1, bool)))
+                owners.append(key)
+                whole.append(False)
+            else:  # an equal stretch: all its starts repeat, and so do those of the first one
+                out.append((content, lo, lo + len(piece) - length))
+                whole[k] = True
+        sizes = np.array([len(h[2]) for h in held], np.int64)
+        data = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
+        starts = sizes - length + 1
+        piece = np.repeat(np.arange(len(held)), starts)
+        offset = np.arange(len(piece)) - np.repeat(np.cumsum(starts) - starts, starts)
+        at = (np.cumsum(sizes) - sizes)[piece] + offset
+        rank = np.empty(len(data), np.int64)
+        rank[suffix_order(data.astype(np.int64))] = np.arange(len(data))
+        order = np.argsort(rank[at])
+        same = same_prefix(data, at[order[:-1]], at[order[1:]], length)
+        twice = np.array(whole, bool)[piece]
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        out = [(places[i][0], places[i][1], places[i][1]) for i in np.nonzero(twice[:old])[0] if not places[i][2]]
-        old_known = np.array([p[2] for p in places], bool)
-        known = np.concatenate([old_known | twice[:old], twice[old:]])
-        hits = np.nonzero(twice[old:])[0]
+        told = np.concatenate([h[3] for h in held])
+        hits = np.nonzero(twice & ~told)[0]
         if len(hits):
             turn = np.concatenate([[True], (np.diff(piece[hits]) != 0) | (np.diff(offset[hits]) != 1)])
             heads = np.nonzero(turn)[0]
             tails = np.concatenate([heads[1:], [len(hits)]]) - 1
             for a, b in zip(hits[heads].tolist(), hits[tails].tolist(), strict=True):
-                i = piece[a]
-                out.append((contents[i], los[i] + int(offset[a]), los[i] + int(offset[b])))
-        # One place of each distinct window of the last key stays, with what is known about it.
-        first = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
-        leads = order[first]
-        leads = leads[group[leads] == number[-1]]
-        keep = []
-        for i in leads.tolist():
-            if i < old:
-                keep.append((places[i][0], places[i][1], bool(known[i])))
-            else:
-                j = piece[i - old]
-                keep.append((contents[j], los[j] + int(offset[i - old]), bool(known[i])))
-        self.key, self.open = keys[-1], (h1[leads], h2[leads], keep)
+                content, lo = held[piece[a]][:2]
+                out.append((content, lo + int(offset[a]), lo + int(offset[b])))
+        told |= twice
+        opens = np.nonzero(np.concatenate([[True], ~same]))[0]
+        leads = np.unique(np.minimum.reduceat(piece[order], opens))
+        cuts = np.split(told, np.cumsum(starts)[:-1])
+        self.key = keys[-1]
+        self.open = [(*held[k][:3], cuts[k]) for k in leads.tolist() if owners[k] == self.key]
         return out
 
 
@@ -251,6 +315,14 @@ def trimmed(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
     return texts.join(starts, "content").select("content", "text", "starts").mapInArrow(rows, "content binary, left binary, n_removed bigint, n_spans bigint")
 
 
+def frequent_join(runs: DataFrame, twice: DataFrame, total: int) -> DataFrame:
+    """runs with their anchor's members; anchors with over a thousandth of all runs, 1000 at most, are broadcast."""
+    limit = max(1000, total // 1000)
+    often = F.broadcast(twice.filter(F.col("members") > limit))
+    rest = runs.join(F.broadcast(twice.filter(F.col("members") > limit).select("h")), "h", "left_anti")
+    return runs.join(often, "h").unionByName(rest.join(twice.filter(F.col("members") <= limit), "h"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, content, n_bytes, n_removed, n_spans and ``left`` for every row of docs.
 
@@ -263,7 +335,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     unique = written(marked.groupBy("content").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("runs").alias("runs")), "repeats-texts")
     runs = unique.select("content", "rep", F.explode("runs").alias("r")).select("content", "rep", "r.*")
     twice = runs.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1")
-    wanted = runs.join(twice, "h").groupBy("content", "rep").agg(F.collect_list(F.struct("lo", "hi", "at", "h", (F.col("members") > hot).alias("hot"))).alias("runs"))
+    met = frequent_join(runs, twice, unique.agg(F.sum(F.size("runs"))).first()[0] or 0)
+    wanted = met.groupBy("content", "rep").agg(F.collect_list(F.struct("lo", "hi", "at", "h", (F.col("members") > hot).alias("hot"))).alias("runs"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
     met = source.join(wanted, (source["content"] == wanted["content"]) & source["doc_id"].eqNullSafe(wanted["rep"])).select(source["content"], "text", "runs")
     texts = written(met, "repeats-candidates")

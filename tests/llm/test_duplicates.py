@@ -124,6 +124,16 @@ def brute_repeats(texts, length):
     return out
 
 
+def test_suffix_order():
+    rng = random.Random(9)
+    for n in [*range(1, 40), 200, 201, 202]:
+        for letters in (1, 2, 3, 200):
+            text = bytes(rng.randrange(letters) for _ in range(n))
+            assert rp.suffix_order(np.frombuffer(text, np.uint8).astype(np.int64)).tolist() == sorted(range(n), key=lambda i: text[i:])
+    wide = np.array([rng.choice([0, 2**30, 2**30 + 1]) for _ in range(50)])
+    assert rp.suffix_order(wide).tolist() == sorted(range(50), key=lambda i: wide[i:].tolist())
+
+
 @pytest.mark.parametrize(("gram", "hot", "chunk"), [(7, 10**9, 10**6), (7, 2, 700), (1, 3, 300)])
 def test_repeats(spark, monkeypatch, gram, hot, chunk):
     monkeypatch.setattr(rp, "CHUNK_BYTES", chunk)
