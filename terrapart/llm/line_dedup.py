@@ -37,7 +37,7 @@ SHINGLE = 8
 SIMILAR = 0.8
 BANDS, ROWS = 10, 5
 BINS = BANDS * ROWS
-HUB_SHARE = 500
+HUB_SHARE = 200
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -167,10 +167,14 @@ def buckets(marked: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, hub, similar) with the exact Jaccard index of every distinct pair; lines: id, line."""
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / HUB_SHARE).cast("int").alias("salts"))
-    salted = pairs.join(sizes, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    limit = max(HUB_SHARE, pairs.count() // 1000)
+    large = pairs.groupBy("hub").agg(F.count("*").alias("n")).filter(F.col("n") > limit)  # at most 1000 rows
+    large = F.broadcast(large.select("hub", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(large, "hub", "left").select("id", "hub", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
     members = salted.join(lines, "id").select("hub", "salt", F.lit(1).alias("kind"), "id", "line")
-    hubs = sizes.join(lines.withColumnRenamed("id", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("id"), "line")
+    each = pairs.select("hub").distinct().join(large, "hub", "left").select("hub", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    hubs = each.join(lines.withColumnRenamed("id", "hub"), "hub").select("hub", "salt", F.lit(0).alias("kind"), F.col("hub").alias("id"), "line")
     out = pa.schema([("id", pa.int64()), ("hub", pa.int64()), ("similar", pa.float64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
