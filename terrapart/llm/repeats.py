@@ -88,8 +88,8 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(before[: n - width + 1], after[width - 1 : n])
 
 
-def anchor_runs(texts: list[bytes], length: int, gram: int) -> pa.Array:
-    """For each text, the runs (lo, hi) of starts with one anchor, the anchor's place and its hash."""
+def anchor_runs(texts: list[bytes], length: int, gram: int, offset_block: int = OFFSET_BLOCK) -> pa.Array:
+    """For each text, the runs (lo, hi) of starts with one anchor, the anchor's place (-1: several) and its hash."""
     sizes = np.array([len(t) for t in texts], np.int64)
     firsts = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -110,13 +110,20 @@ def anchor_runs(texts: list[bytes], length: int, gram: int) -> pa.Array:
     heads = np.nonzero(turn)[0]
     lo, hi = starts[heads], starts[np.concatenate([heads[1:], [len(starts)]]) - 1]
     doc, place = owner[lo], at[lo]
+    # In periodic text one anchor string follows the other: such short runs become one, with no anchor place.
+    near = place - lo < offset_block
+    joins = (doc[1:] == doc[:-1]) & (lo[1:] == hi[:-1] + 1) & (grams[place[1:]] == grams[place[:-1]]) & near[1:] & near[:-1]
+    heads = np.nonzero(np.concatenate([[True], ~joins]))[0]
+    tails = np.concatenate([heads[1:], [len(lo)]]) - 1
+    marks = grams[place[heads]]
+    doc, lo, hi, place = doc[heads], lo[heads], hi[tails], np.where(heads == tails, place[heads], -1)
     offsets[1:] = np.cumsum(np.bincount(doc, minlength=len(texts)))
     base = firsts[doc]
-    fields = [pa.array((x - base).astype(np.int32)) for x in (lo, hi, place)]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([*fields, pa.array(grams[place].view(np.int64))], fields=list(RUN)))
+    fields = [pa.array(x.astype(np.int32)) for x in (lo - base, hi - base, np.where(place < 0, -1, place - base))]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([*fields, pa.array(marks.view(np.int64))], fields=list(RUN)))
 
 
-def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def anchored(docs: DataFrame, length: int, gram: int, offset_block: int) -> DataFrame:
     """doc_id, content (digest of the text), n_bytes and the runs of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +133,7 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for a, b in slices(texts, SLICE_CHARS):
                 part = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
                 content = pa.array([hashlib.sha256(t).digest() for t in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), content, pa.array([len(t) for t in part], pa.int64()), anchor_runs(part, length, gram)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), content, pa.array([len(t) for t in part], pa.int64()), anchor_runs(part, length, gram, offset_block)], names=names)
 
     schema = "doc_id bigint, content binary, n_bytes bigint, runs array<struct<lo:int,hi:int,at:int,h:bigint>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(rows, schema)
@@ -323,18 +330,18 @@ def frequent_join(runs: DataFrame, twice: DataFrame, total: int) -> DataFrame:
     return runs.join(often, "h").unionByName(rest.join(twice.filter(F.col("members") <= limit), "h"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, offset_block: int = OFFSET_BLOCK) -> DataFrame:
     """doc_id, content, n_bytes, n_removed, n_spans and ``left`` for every row of docs.
 
     left: the remaining bytes where some but not all bytes were removed, empty where all were, and null where
     none were, in which case the text stands as it is (its SHA-256 is content).
     """
     gram = min(gram, length)
-    spread = max(1, OFFSET_BLOCK)
-    marked = written(anchored(docs, length, gram), "repeats-anchors")
+    spread = offset_block
+    marked = written(anchored(docs, length, gram, offset_block), "repeats-anchors")
     unique = written(marked.groupBy("content").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("runs").alias("runs")), "repeats-texts")
     runs = unique.select("content", "rep", F.explode("runs").alias("r")).select("content", "rep", "r.*")
-    twice = runs.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1")
+    twice = runs.groupBy("h").agg(F.sum(F.when(F.col("at") < 0, 2).otherwise(1)).alias("members")).filter("members > 1")
     met = frequent_join(runs, twice, unique.agg(F.sum(F.size("runs"))).first()[0] or 0)
     wanted = met.groupBy("content", "rep").agg(F.collect_list(F.struct("lo", "hi", "at", "h", (F.col("members") > hot).alias("hot"))).alias("runs"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
@@ -342,11 +349,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     texts = written(met, "repeats-candidates")
     r = texts.select("content", "text", F.explode("runs").alias("r")).select("content", "text", "r.*")
     low, high = F.floor((F.col("at") - F.col("hi")) / spread).cast("int"), F.floor((F.col("at") - F.col("lo")) / spread).cast("int")
-    block = F.explode(F.when(F.col("hot"), F.sequence(low, high)).otherwise(F.array(F.lit(-1))))
+    several = F.col("at") < 0  # all their offsets are in block 0
+    block = F.explode(F.when(F.col("hot") & several, F.array(F.lit(0))).when(F.col("hot"), F.sequence(low, high)).otherwise(F.array(F.lit(-1))))
     dealt = (
         r.withColumn("block", block)
-        .withColumn("first", F.when(F.col("block") < 0, F.col("lo")).otherwise(F.greatest("lo", F.col("at") - F.col("block") * spread - spread + 1)))
-        .withColumn("last", F.when(F.col("block") < 0, F.col("hi")).otherwise(F.least("hi", F.col("at") - F.col("block") * spread)))
+        .withColumn("first", F.when((F.col("block") < 0) | several, F.col("lo")).otherwise(F.greatest("lo", F.col("at") - F.col("block") * spread - spread + 1)))
+        .withColumn("last", F.when((F.col("block") < 0) | several, F.col("hi")).otherwise(F.least("hi", F.col("at") - F.col("block") * spread)))
         .select("h", "block", "content", F.col("first").alias("lo"), F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + length).alias("piece"))
     )
     ranges = repeated_starts(dealt.repartition("h", "block").sortWithinPartitions("h", "block", "content", "lo"), length)
