@@ -15,7 +15,7 @@ from terrapart.llm.components import components, forest
 
 def test_components(spark):
     rng = random.Random(3)
-    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7), (None, 3)]
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(40)] + [(9000, 1000 + i) for i in range(1500)] + [(7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     real = [(a, b) for a, b in edges if a is not None and a != b]
     nodes = sorted({x for e in real for x in e})
@@ -134,16 +134,16 @@ def test_suffix_order():
     assert rp.suffix_order(wide).tolist() == sorted(range(50), key=lambda i: wide[i:].tolist())
 
 
-@pytest.mark.parametrize(("gram", "hot", "chunk"), [(7, 10**9, 10**6), (7, 2, 700), (1, 3, 300)])
-def test_repeats(spark, monkeypatch, gram, hot, chunk):
+@pytest.mark.parametrize(("gram", "hot", "chunk", "block"), [(7, 10**9, 10**6, 64), (7, 2, 700, 4), (1, 3, 300, 3), (4, 1, 500, 64)])
+def test_repeats(spark, monkeypatch, gram, hot, chunk, block):
     monkeypatch.setattr(rp, "CHUNK_BYTES", chunk)
     rng = random.Random(gram)
     base = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 90))) for _ in range(12)]
     texts = [None, ""] + ["".join(rng.choice(base)[rng.randint(0, 10) :] for _ in range(rng.randint(0, 5))) for _ in range(120)]
-    texts += [*texts[5:12], "a" * 100, "a" * 61, "ab" * 80]
+    texts += [*texts[5:12], "a" * 100, "a" * 61, "ab" * 80, "abc" * 90, "x" + "bca" * 30, "abcdefgh" * 9, "é" * 70, "zyx" * 14]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("content", F.lit("clash")).repartition(3)
     digest = F.coalesce(F.sha2("left", 256), F.lower(F.hex("content")))
-    got = rp.remove_repeats(docs, 20, gram, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", digest).collect()
+    got = rp.remove_repeats(docs, 20, gram, hot, block).select("doc_id", "n_bytes", "n_removed", "n_spans", digest).collect()
     want = brute_repeats([(t or "").encode() for t in texts], 20)
     assert len(got) == len(texts) and all(tuple(r[1:]) == want[r.doc_id] for r in got)
 
