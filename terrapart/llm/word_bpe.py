@@ -91,7 +91,10 @@ class Codec:
         for c in self.chars.values():
             self.inner_of[ord(c)], self.final_of[ord(c)] = self.vocab[c], self.vocab[c + self.suffix]
         self.inner, self.final = self.reachable()
-        self.longest = max(map(len, [*self.inner, *self.final]), default=1)
+        self.longest = max(map(len, self.final), default=1)
+        self.reach: dict[str, int] = {}  # by first two characters, the length of the longest token inside words
+        for text in self.inner:
+            self.reach[text[:2]] = max(len(text), self.reach.get(text[:2], 1))
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -139,13 +142,13 @@ class Codec:
     def proposed(self, word: str) -> list[int] | None:
         """Greedy longest match; None if it gets stuck."""
         out, at, end = [], 0, len(word)
-        inner, final, longest = self.inner, self.final, self.longest
+        inner, final, longest, reach = self.inner, self.final, self.longest, self.reach
         last = end - 1 if self.suffix else end
         while at < end:
             if end - at <= longest and (i := final.get(word[at:])) is not None:
                 out.append(i)
                 return out
-            for stop in range(min(last, at + longest), at, -1):
+            for stop in range(min(last, at + reach.get(word[at : at + 2], 1)), at, -1):
                 if (i := inner.get(word[at:stop])) is not None:
                     out.append(i)
                     at = stop
@@ -206,6 +209,8 @@ class Codec:
 
     def cut(self, text: str) -> list[str]:
         """Words of a text without special tokens, in byte characters or, if ASCII, as they are."""
+        if text.isascii() and text[:-1].isalpha() and (text[-1] in ".," or text[-1].isalpha()):  # the common cases
+            return [text.lower()] if text[-1].isalpha() else [text[:-1].lower(), text[-1]]
         if UNSAFE.search(text):
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         if text.isascii():
