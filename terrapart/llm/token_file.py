@@ -35,7 +35,7 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
 #: Words remembered in each of two generations; what is still in use moves on to the newer one.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 SLICE_CHARS = 2_000_000
 #: What a plain text must not hold: other white space, runs of white space, apostrophes, opened special tokens.
 BREAKS = ["  ", " \n", "\n ", "\n\n", "'", "<|", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"]
