@@ -3,18 +3,20 @@
 Lines are normalised (lower case, single spaces); equal lines are one node. A line's character shingles are
 hashed once each and dealt into bins, whose minima are its signature (empty bins borrow from others); groups
 of bins form bands, and lines that share a band are candidates. Each candidate is compared with the smallest
-member of its bucket by the exact Jaccard index of the shingle sets. Members that are then still apart from
-their bucket's smallest are compared with a leader of every other component among them. Verified links are
-joined by distributed union-find, and the first occurrence (by doc_id, then line) of each component is kept.
+member of its bucket by the exact Jaccard index of the shingle sets. Where a bucket then still holds several
+components, every pair of members of different ones is compared, so no candidate pair that could join two
+components is left out. Verified links are joined by distributed union-find, and the first occurrence (by
+doc_id, then line) of each component is kept.
 
 Scale: the texts are signed in one pass; bands travel as pairs of 64-bit numbers, sorted and streamed, so a
 bucket never has to fit in memory, and an equal line is sent once by each task however often it occurs. Texts
-of candidates are fetched by one join. Comparisons of a smallest member with many lines are spread over salts.
-No bucket, partner or candidate is capped.
+of candidates are fetched by one join. Comparisons of a smallest member with many lines are spread over salts,
+those of a bucket's components over blocks of its members; a task holds one block. No bucket, partner or
+candidate is capped.
 
 Limits: two lines with Jaccard index 0.8 share a band with probability about 0.98, more above it; two lines
-that share a band but are unlike the smallest member and all leaders they meet, in every band, stay apart.
-Lines are told apart by 64-bit hashes.
+without a common band are linked only through others. The comparisons in a bucket of many unlike lines grow
+with the square of their number. Lines are told apart by 64-bit hashes.
 
 Edge cases: null text is empty; blank lines are no lines and go only when other lines of their text go; lines
 shorter than a shingle are one shingle; rows repeated in full count as one document; null doc_ids come first;
@@ -38,6 +40,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 10, 5
 BINS = BANDS * ROWS
 HUB_SHARE = 200
+BLOCK_CHARS = 1 << 18
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -206,38 +209,67 @@ def candidate_lines(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFr
 
 
 def leftovers(stars: DataFrame, told: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, c, id) of bucket members whose component c is not that of their hub."""
+    """(band, c, id) of all members but the hub, with their component c, of buckets with a member outside the hub's component."""
     root = lambda column: roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
     rows = stars.join(told.select("id", "hub"), ["id", "hub"]).join(root("id"), "id", "left").join(root("hub"), "hub", "left")
     rows = rows.select("band", "id", F.coalesce("id_root", "id").alias("c"), F.coalesce("hub_root", "hub").alias("hc"))
-    return rows.filter("c <> hc").select("band", "c", "id")
+    split = rows.filter("c <> hc").select("band").distinct()
+    return rows.join(split, "band", "left_semi").select("band", "c", "id")
 
 
-def led(rest: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) among the leftovers of each bucket.
+def led(rest: DataFrame, lines: DataFrame, similar: float, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Links (a, b), a > b, that join all components of a bucket with a similar pair between them; rest: band, c, id.
 
-    The first member of each component leads it; every member is compared with the leaders of the other
-    components. Buckets stream by, and only leaders are held.
+    The members outside a bucket's largest component, which leads it, are dealt into blocks of about block_chars
+    characters. Each block is held while all members of the bucket stream by; every pair of different components
+    is compared, unless links found in the block have joined the two already.
     """
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, {}
+        last, joined, block, arrays = None, {}, [], None
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
         for batch in batches:
             found = []
-            for band, c, i, line in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if band != last:
-                    last, leaders = band, {}
+            for band, part, kind, c, i, line in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (band, part) != last:
+                    last, joined, block, arrays = (band, part), {}, [], None
                 own = shingle_set(normalised(line))
-                for other, (leader, held) in leaders.items():
-                    if other != c and min(len(own), len(held)) >= similar * max(len(own), len(held)):
-                        common = len(own & held)
-                        if common >= similar * (len(own) + len(held) - common):
-                            found.append((i, leader))
-                leaders.setdefault(c, (i, own))
+                if kind == 0:
+                    block.append((c, i, own))
+                    continue
+                if arrays is None:
+                    arrays = [np.array(x, np.int64) for x in zip(*((c, i, len(held)) for c, i, held in block), strict=True)] if block else [np.zeros(0, np.int64)] * 3
+                roots, ids, sizes = arrays
+                c = root(c)
+                meet = (roots != c) & (np.minimum(sizes, len(own)) >= similar * np.maximum(sizes, len(own)))
+                if kind == 1:  # of two members outside the largest component, the one with the smaller id streams by
+                    meet &= ids > i
+                for k in np.nonzero(meet)[0].tolist():
+                    if roots[k] == c:
+                        continue
+                    held = block[k][2]
+                    common = len(own & held)
+                    if common >= similar * (len(own) + len(held) - common):
+                        other = int(ids[k])
+                        found.append((max(i, other), min(i, other)))
+                        joined[int(roots[k])] = c
+                        roots[roots == roots[k]] = c
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=out)
 
-    dealt = rest.join(lines, "id").select("band", "c", "id", "line").repartition("band").sortWithinPartitions("band", "c", "id")
+    sized = rest.join(lines, "id")
+    groups = sized.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    per = groups.groupBy("band").agg(F.max(F.struct("n", "c", "chars")).alias("most"), F.sum("chars").alias("chars"), F.count("*").alias("k")).filter("k > 1")
+    per = per.select("band", F.col("most.c").alias("main"), F.ceil((F.col("chars") - F.col("most.chars") + 1) / block_chars).cast("int").alias("parts"))
+    met = sized.join(per, "band")
+    held = met.filter("c <> main").select("band", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "c", "id", "line")
+    stream = met.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.when(F.col("c") == F.col("main"), 2).otherwise(1).alias("kind"), "c", "id", "line")
+    dealt = held.unionByName(stream).repartition("band", "part").sortWithinPartitions("band", "part", "kind", "id")
     return dealt.mapInArrow(rows, "a bigint, b bigint")
 
 

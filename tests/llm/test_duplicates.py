@@ -111,6 +111,42 @@ def test_leaders_join_buckets(spark):
     assert {r.a for r in found} >= {1, 2, 3} and 10 not in {r.a for r in found}
 
 
+def drifting(n=1000, words=30, step=1):
+    """Lines each of which is like its next ones only."""
+    rng = random.Random(4)
+    text = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n * step + words)]
+    return [" ".join(text[i * step : i * step + words]) for i in range(n)]
+
+
+def candidate_components(lines):
+    """Root of each line, from all pairs that share a band and have the index."""
+    bands = [set(row) for row in ld.bands_of(lines).tolist()]
+    sets = [ld.shingle_set(x) for x in lines]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return forest(np.arange(len(lines)), np.array([i for i, _ in pairs], int), np.array([j for _, j in pairs], int))
+
+
+def test_drifting_lines_meet_all_candidates(spark):
+    lines = drifting()
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {r.doc_id for r in ld.kept_lines(docs).collect() if len(r.kept)}
+    assert kept == set(candidate_components(lines).tolist())
+
+
+@pytest.mark.parametrize("block", [2000, 1 << 18])
+def test_bucket_is_compared_in_full(spark, block):
+    lines = drifting(200, 30)
+    sets = [ld.shingle_set(x) for x in lines]
+    c = [i if i % 3 else 0 for i in range(200)]  # every third line is in one large component
+    rest = spark.createDataFrame([(b, c[i], i) for b in (1, 2) for i in range(200)], "band long, c long, id long")
+    found = [(r.a, r.b) for r in ld.led(rest, spark.createDataFrame(list(enumerate(lines)), "id long, line string"), 0.8, block).collect()]
+    want = [(i, j) for i in range(200) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert set(found) <= set(want)
+    known = list(enumerate(c))
+    roots = [forest(np.arange(200), *map(np.array, zip(*(known + links), strict=True))).tolist() for links in (found, want)]
+    assert roots[0] == roots[1]
+
+
 def brute_repeats(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
