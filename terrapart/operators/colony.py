@@ -238,12 +238,14 @@ def rough_edges(model: Model, labels: np.ndarray) -> float:
 def silhouette_term(model: Model, labels: np.ndarray, chosen: np.ndarray | None = None) -> float:
     q = np.arange(len(model.x)) if chosen is None else chosen
     x, w, own = model.x[q], model.weight[q], labels[q]
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
     names = np.unique(own)
-    mass = np.stack([(w * (own == n))[None, :].repeat(len(q), 0) for n in names])
-    mass[:, np.arange(len(q)), np.arange(len(q))] = 0.0
-    total = mass.sum(axis=2)
-    mean = np.divide((mass * d).sum(axis=2), total, out=np.full_like(total, np.nan), where=total > 0)
+    member = np.where(own[:, None] == names, w[:, None], 0.0)
+    total = member.sum(axis=0)[:, None] - member.T  # without the node itself
+    far = np.empty_like(total)
+    for i in range(0, len(q), 64):  # a block of distances at a time
+        far[:, i : i + 64] = (np.sqrt(((x[i : i + 64, None, :] - x[None, :, :]) ** 2).sum(axis=2)) @ member).T
+    count = (own[:, None] == names).sum(axis=0)[:, None] - (own == names[:, None])
+    mean = np.divide(far, total, out=np.full_like(total, np.nan), where=(count > 0) & (total > 0))
     at = np.searchsorted(names, own)
     a = mean[at, np.arange(len(q))]
     mean[at, np.arange(len(q))] = np.inf

@@ -492,15 +492,13 @@ def palette(s: SparkSession, d: str) -> DataFrame:
 
 
 def colony_run(s: SparkSession, d: str, algorithm: str) -> DataFrame:
-    """A short fit of each objective on the nodes: outcome rows without timings."""
+    """A fit of each objective on all nodes with the operator's own numbers of ants and iterations: outcome rows without timings."""
     from terrapart.operators import colony as co
 
-    small = fx.nodes(s, d).filter("node_id < 500").withColumn("f", F.slice("f", 1, 8))
-    edges = gr.knn_lattice(small, 8)
-    model, _ = co.collect_model(small, edges, gr.snn_graph(edges, gr.undirected(edges), 8))
+    model, _ = co.collect_model(fx.nodes(s, d), space_edges(s, d), snn(s, d))
     rows = [(i + 1, 0, algorithm, u, o, 1.0, 1.0, 0.1, 0.05) for i, (o, u) in enumerate(zip(co.OBJECTIVES, ("all_ants", "best_ant", "quality_weighted"), strict=True))]
     configs = s.createDataFrame(rows, "run_id long, seed long, algorithm string, pheromone_update string, fitness_name string, alpha double, beta double, evaporation double, q double")
-    found = co.run_configs(configs.repartition(len(rows), "run_id"), model, n_ants=2, n_iterations=2)
+    found = co.run_configs(configs.repartition(len(rows), "run_id"), model)
     return found.select("run_id", "seed", "algorithm", "pheromone_update", "fitness_name", "status", F.round("best_fitness", 6).alias("best_fitness"), F.round("recomputed_fitness", 6).alias("recomputed_fitness"), F.size("labels").cast("long").alias("n_labels"))
 
 

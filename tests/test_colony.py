@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from terrapart.operators import colony as co
+from terrapart.plans import catalog
 
 
 def model(n=60, seed=0):
@@ -75,3 +76,19 @@ def test_parallel_ants(spark):
     settings = co.Colony("aco_centroid", clusters=3, n_ants=3, n_iterations=2, evaporation=0.1)
     one, two = (co.fit_ants_parallel(spark, model(), settings) for _ in range(2))
     assert one.fitness == two.fitness and (one.labels == two.labels).all() and len(one.history) == 2
+
+
+def test_registered_fit_takes_all_nodes(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=64).tolist(), i % 5) for i in range(520)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    real, met = co.run_configs, []
+
+    def short(configs, model, **settings):
+        met.append((model.x.shape, model.near.shape, settings))
+        return real(configs, model, n_ants=1, n_iterations=1)
+
+    monkeypatch.setattr(co, "run_configs", short)
+    got = catalog.queries()["aco_centroid"](spark, str(tmp_path)).collect()
+    assert met == [((520, 64), (520, 16), {})]
+    assert {(r.status, r.n_labels) for r in got} == {("ok", 520)}
