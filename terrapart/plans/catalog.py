@@ -461,7 +461,12 @@ WIDE_SQL = "SELECT " + ", ".join(f"max(fit) FILTER (fitness_name = '{o}') AS {o}
 register("objective_corr", lambda s, d: rounded(an.objective_correlations(summary(s, d), KEY[1:], "fit", OBJECTIVES)), f"WITH u AS ({WIDE_SQL}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM u" for a in OBJECTIVES for b in OBJECTIVES))
 
 
+def all_pairs_of_runs(s: SparkSession, d: str) -> DataFrame:
+    return an.paired(clean_runs(s, d), KEY, ["best_fitness", "eco"])
+
+
 def pairs_of_runs(s: SparkSession, d: str) -> DataFrame:
+    """Part of the pairs, as in the SQL of paired_differences."""
     return an.paired(clean_runs(s, d).filter("fitness_name = 'snn' AND beta = 1.0 AND evaporation = 0.1"), KEY, ["best_fitness", "eco"])
 
 
@@ -469,7 +474,8 @@ PAIRS_SQL = f"""n AS (SELECT {CFG_SQL} AS cfg, seed, best_fitness, eco FROM ({CL
 d AS (SELECT a.cfg AS cfg_a, b.cfg AS cfg_b, unnest(['best_fitness', 'eco']) AS metric, unnest([a.best_fitness - b.best_fitness, a.eco - b.eco]) AS d FROM n a JOIN n b ON a.seed = b.seed AND a.cfg < b.cfg),
 g AS (SELECT cfg_a, cfg_b, metric, count(*) AS n_pairs, avg(d) AS m, median(d) AS md, stddev_samp(d) AS sd FROM d GROUP BY ALL)"""
 register("paired_differences", lambda s, d: rounded(an.paired_differences(pairs_of_runs(s, d))), f"WITH {PAIRS_SQL} SELECT cfg_a, cfg_b, metric, n_pairs, " + r6(*[f"CASE WHEN n_pairs >= 2 THEN {e} END AS {n}" for e, n in (("m", "mean_diff"), ("md", "median_diff"), ("sd", "std_diff"), ("m / nullif(sd, 0)", "cohen_dz"), ("m / nullif(sd, 0) * sqrt(n_pairs)", "paired_t_stat"))]) + " FROM g")
-register("paired_pvalues", lambda s, d: rounded(an.paired_tests(pairs_of_runs(s, d))))
+register("paired_pvalues", lambda s, d: rounded(an.paired_tests(all_pairs_of_runs(s, d))))
+register("paired_differences_all", lambda s, d: rounded(an.paired_differences(all_pairs_of_runs(s, d))))
 register(
     "union_migrate",
     lambda s, d: rounded(an.union_migrate(summary(s, d).select("algorithm", "fit"), summary(s, d).filter("algorithm = 'alg_1'").select(F.lit("alg_0").alias("algorithm"), "fit", F.lit("rerun").alias("origin")), "alg_0")),

@@ -11,6 +11,8 @@ from terrapart.operators import graph as gr
 from terrapart.operators import landcover as lc
 from terrapart.operators import pheromone as ph
 from terrapart.operators import raster as ra
+from terrapart.plans import catalog
+from terrapart.plans import fixtures as fx
 from terrapart.sources import tables as st
 from terrapart.streaming import monitor
 
@@ -148,6 +150,19 @@ def test_paired_null_cases(spark):
     assert got["b"].n_pairs == 1 and got["b"].mean_diff is None and got["c"].mean_diff == 0 and got["c"].cohen_dz is None
 
 
+def test_all_configurations_are_paired(spark, monkeypatch):
+    rows = [(f, "alg_0", "all_ants", 1.0, b, e, seed, k * 0.01 + seed * k * k * 0.001, k + seed * 0.5, 1) for k, (f, b, e) in enumerate([("snn", 1.0, 0.1), ("snn", 3.0, 0.1), ("centroid", 1.0, 0.02), ("silhouette", 3.0, 0.02)]) for seed in range(3)]
+    names = [*an.CONFIG, "seed", "best_fitness", "eco", "logged"]
+    monkeypatch.setattr(fx, "runs", lambda s, d: spark.createDataFrame(rows, names))
+    by = {}
+    for r in rows:
+        by.setdefault("|".join(map(str, r[:6])), {})[r[6]] = r[7:9]
+    want = {(a, b, m): np.mean([by[a][s][i] - by[b][s][i] for s in range(3)]) for a in by for b in by if a < b for i, m in enumerate(["best_fitness", "eco"])}
+    got = {(r.cfg_a, r.cfg_b, r.metric): r.mean_diff for r in catalog.queries()["paired_differences_all"](spark, "").collect()}
+    assert got.keys() == want.keys() and len(want) == 12 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert {(r.cfg_a, r.cfg_b, r.metric) for r in catalog.queries()["paired_pvalues"](spark, "").collect()} == want.keys()
+
+
 def test_partitioning_does_not_matter(spark):
     rows = [(i % 3, (i * 7) % 45) for i in range(200)]
     frames = [spark.createDataFrame(rows, "cluster int, clc_class int").repartition(n) for n in (1, 8)]
