@@ -213,6 +213,15 @@ k AS (SELECT t.*, floor(y)::BIGINT + i AS r, floor(x)::BIGINT + j AS c FROM t, (
 SELECT k.row, k.col, round(sum((1 - abs(y - r)) * (1 - abs(x - c)) * s.value) / sum((1 - abs(y - r)) * (1 - abs(x - c))), 6) AS value FROM k JOIN fx_pixels s ON s.row = r AND s.col = c GROUP BY k.row, k.col""")
 
 
+def resampled_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole target grid; resample_bilinear takes the corner that its SQL has."""
+    px = fx.pixels(spark, d)
+    return rounded(ra.resample_bilinear(px.select("row", "col"), px.select("row", "col", "value"), 0.5, 0.25))
+
+
+register("resample_bilinear_all", resampled_all)
+
+
 def features_of(rows: DataFrame, more: bool) -> DataFrame:
     return rounded(ra.climate_features(rows, "temperature", "rain", more).drop("temperature", "rain"))
 

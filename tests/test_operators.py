@@ -150,6 +150,18 @@ def test_paired_null_cases(spark):
     assert got["b"].n_pairs == 1 and got["b"].mean_diff is None and got["c"].mean_diff == 0 and got["c"].cohen_dz is None
 
 
+def test_whole_grid_is_resampled(spark, monkeypatch):
+    cells = {(r, c): float(r * r + 3 * c) for r in range(45) for c in range(43)}
+    monkeypatch.setattr(fx, "pixels", lambda s, d: spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row long, col long, value double"))
+    got = {(r.row, r.col): r.value for r in catalog.queries()["resample_bilinear_all"](spark, "").collect()}
+    want = {}
+    for r, c in cells:
+        y, x = r * 0.5 + 0.25, c * 0.5 + 0.25
+        near = [((1 - abs(y - i)) * (1 - abs(x - j)), cells[i, j]) for i in (int(y), int(y) + 1) for j in (int(x), int(x) + 1) if (i, j) in cells]
+        want[r, c] = sum(w * v for w, v in near) / sum(w for w, _ in near)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
 def test_all_configurations_are_paired(spark, monkeypatch):
     rows = [(f, "alg_0", "all_ants", 1.0, b, e, seed, k * 0.01 + seed * k * k * 0.001, k + seed * 0.5, 1) for k, (f, b, e) in enumerate([("snn", 1.0, 0.1), ("snn", 3.0, 0.1), ("centroid", 1.0, 0.02), ("silhouette", 3.0, 0.02)]) for seed in range(3)]
     names = [*an.CONFIG, "seed", "best_fitness", "eco", "logged"]
