@@ -188,6 +188,18 @@ def silhouette(nodes: DataFrame, sample: Iterable[int] | None = None, block: int
     return found.filter("skip = 0").select("node_id", "label", "weight", "a", "b", score.alias("s"))
 
 
+def seeded_sample(nodes: DataFrame, size: int | None = None, seed: int = 0) -> list[int] | None:
+    """Sorted ids of a seeded draw of size nodes from all ids in order; None, for all, without a size below their number."""
+    if size is None:
+        return None
+    if size <= 0:
+        raise ValueError("size must be positive")
+    ids = nodes.select("node_id").toPandas().node_id.sort_values().to_numpy()
+    if size >= len(ids):
+        return None
+    return ids[np.sort(np.random.default_rng(seed).choice(len(ids), size=size, replace=False))].tolist()
+
+
 def silhouette_mean(scores: DataFrame) -> DataFrame:
     mean = F.sum(F.col("weight") * F.col("s")) / F.sum("weight")
     return scores.agg(mean.alias("silhouette"), ((1 - mean) / 2).alias("silhouette_term"), F.count("*").alias("n"))

@@ -310,6 +310,7 @@ def fitness(s: SparkSession, d: str, objective: str) -> DataFrame:
     term = {
         "centroid": lambda: gr.compactness(nodes).withColumnRenamed("compactness", "t"),
         "silhouette": lambda: gr.silhouette_mean(gr.silhouette(nodes, SAMPLE, fallback=False)).withColumnRenamed("silhouette_term", "t"),
+        "silhouette_all": lambda: gr.silhouette_mean(gr.silhouette(nodes)).withColumnRenamed("silhouette_term", "t"),
         "snn": lambda: gr.snn_cut(snn(s, d), labels(s, d)).withColumnRenamed("cut", "t"),
     }[objective]()
     return rounded(gr.mixed_fitness(term, "t", gr.disagreement(space_edges(s, d), labels(s, d))))
@@ -318,6 +319,8 @@ def fitness(s: SparkSession, d: str, objective: str) -> DataFrame:
 FIT_SELECT = "SELECT round(0.7 * t + 0.3 * v, 6) AS fitness, round(t, 6) AS term, round(v, 6) AS spatial FROM dis, "
 register("fitness_centroid", lambda s, d: fitness(s, d, "centroid"), f"WITH {COMPACT_SQL}, {DISAGREE_SQL} {FIT_SELECT} (SELECT term AS t FROM compact)")
 register("fitness_silhouette", lambda s, d: fitness(s, d, "silhouette"), f"WITH {SOME_SQL}, {DISAGREE_SQL} {FIT_SELECT} (SELECT (1 - mean) / 2 AS t FROM silm)")
+register("fitness_silhouette_all", lambda s, d: fitness(s, d, "silhouette_all"))
+register("silhouette_seeded", lambda s, d: rounded(gr.silhouette_mean(gr.silhouette(fx.nodes(s, d), gr.seeded_sample(fx.nodes(s, d), 100), fallback=False))))
 register("fitness_snn", lambda s, d: fitness(s, d, "snn"), f"{CUT_SQL}, {DISAGREE_SQL.partition('), dis AS')[2].join(['dis AS', ''])} {FIT_SELECT} (SELECT external / total AS t FROM cut)")
 
 

@@ -150,6 +150,22 @@ def test_paired_null_cases(spark):
     assert got["b"].n_pairs == 1 and got["b"].mean_diff is None and got["c"].mean_diff == 0 and got["c"].cohen_dz is None
 
 
+def test_seeded_sample_is_of_all_ids(spark):
+    table = spark.range(0, 2000).select((F.col("id") * 3).alias("node_id"))
+    assert gr.seeded_sample(table, 100, 7) == (3 * np.sort(np.random.default_rng(7).choice(2000, size=100, replace=False))).tolist()
+    assert gr.seeded_sample(table) is None and gr.seeded_sample(table, 2000) is None
+    with pytest.raises(ValueError):
+        gr.seeded_sample(table, 0)
+
+
+def test_fitness_takes_all_nodes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2).tolist(), i % 2, 1.0, float(i // 25), float(i % 25)) for i in range(30)]
+    monkeypatch.setattr(fx, "nodes", lambda s, d: spark.createDataFrame(rows, "node_id long, f array<double>, label long, weight double, r double, c double"))
+    want = gr.silhouette_mean(gr.silhouette(fx.nodes(spark, ""))).first()
+    assert want.n == 30 and catalog.queries()["fitness_silhouette_all"](spark, "").first().term == pytest.approx(want.silhouette_term, abs=1e-6)
+
+
 def test_whole_grid_is_resampled(spark, monkeypatch):
     cells = {(r, c): float(r * r + 3 * c) for r in range(45) for c in range(43)}
     monkeypatch.setattr(fx, "pixels", lambda s, d: spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row long, col long, value double"))
