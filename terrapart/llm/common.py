@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 import uuid
 
@@ -17,19 +18,38 @@ from pyspark.sql import functions as F
 WORD_BREAKS = "\t\n\x0b\x0c\r"
 
 
+#: Scratch tables of this process by application, for drop_scratch.
+SCRATCH: dict[str, list[str]] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where the session names none, a folder of its own."""
+    """The shared folder of spark.checkpoint.dir; a local session that names none gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
-        named = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='terrapart-')}"
+        named = context.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='terrapart-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/terrapart-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/terrapart-{name}-{uuid.uuid4().hex}"
+    SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete this application's scratch tables; call it once results that read them have been written. Returns their number."""
+    jvm, paths = spark.sparkContext._jvm, SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
