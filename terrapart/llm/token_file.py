@@ -67,8 +67,9 @@ class Encoder:
     A text is plain if it has single spaces and line breaks between other characters, no apostrophe, no opening
     of a special token, and beyond ASCII only Latin letters. Its cut is then a matter of character classes, and
     many texts are cut at once on their bytes: a word begins where the class changes, a space belongs to what
-    follows. Words are told apart by a 64-bit hash of their bytes and length; those not seen before go to the
-    library, many in a row. Other texts go to the library whole.
+    follows. Equal words of many texts are found by a hash and compared byte by byte (should two unlike words
+    share a hash, the library takes these texts whole); remembered words are found by their bytes, and those
+    not seen before go to the library, many in a row. Other texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -78,26 +79,25 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.seen: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.mixed = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64)
         self.up, self.down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: dict[int, bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Remember words: rows of words that are a space and letters at once, others one by one."""
-        plain = {h: w for h, w in words.items() if SPACED(w)}
-        hashes, texts = list(plain), [w.decode() for w in plain.values()]
-        for at in range(0, len(texts), 4000):
-            ids = np.array(self.library.encode_batch_fast(["".join(texts[at : at + 4000])], add_special_tokens=False)[0].ids, "<u4")
+        spaced, rest = [w for w in words if SPACED(w)], [w for w in words if not SPACED(w)]
+        for at in range(0, len(spaced), 4000):
+            row = spaced[at : at + 4000]
+            ids = np.array(self.library.encode_batch_fast([b"".join(row).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.nonzero(self.opens[ids])[0] * 4).tolist()
             data = ids.tobytes()
-            self.seen.update(zip(hashes[at : at + 4000], [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
-        rest = [h for h in words if h not in plain]
-        for h, got in zip(rest, self.library.encode_batch_fast([words[h].decode() for h in rest], add_special_tokens=False), strict=True):
-            self.seen[h] = np.array(got.ids, "<u4").tobytes()
+            self.seen.update(zip(row, [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
+        for word, got in zip(rest, self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.seen[word] = np.array(got.ids, "<u4").tobytes()
 
     def powers(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < size:
@@ -125,16 +125,16 @@ class Encoder:
         h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x9FB21C651E98DF25)
-        marks, where, back = np.unique(h, return_index=True, return_inverse=True)
-        names = marks.tolist()
+        _, where, back = np.unique(h, return_index=True, return_inverse=True)
+        if not same_words(data, starts, ends, where[back]):
+            return [self.whole(t.decode()) for t in texts]
+        names = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         if len(self.seen) > CACHE_WORDS:
             self.older, self.seen = self.seen, {}
         seen, older = self.seen, self.older
         seen.update((name, older[name]) for name in names if name not in seen and name in older)
-        fresh = [k for k, name in enumerate(names) if name not in seen]
-        if fresh:
-            at = where[fresh]
-            self.learn({names[k]: raw[a:b] for k, a, b in zip(fresh, starts[at].tolist(), ends[at].tolist(), strict=True)})
+        if fresh := [name for name in names if name not in seen]:
+            self.learn(fresh)
         found = [seen[name] for name in names]
         lengths = np.array([len(f) for f in found], np.int64) // 4
         offsets = np.cumsum(lengths) - lengths
@@ -153,6 +153,15 @@ class Encoder:
         return [self.whole(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
 
 
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each word (bytes from starts to ends, all of data in order) equals the word numbered like."""
+    sizes = ends - starts
+    if (sizes != sizes[like]).any():
+        return False
+    other = np.arange(len(data)) + np.repeat(starts[like] - starts, sizes)
+    return bool((data[other] == data).all())
+
+
 def plain(text: str) -> bool:
     """Whether the cut of a text follows from its bytes' classes (see Encoder)."""
     if not text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in BREAKS):
