@@ -6,11 +6,12 @@ numpy: a pair is compatible if no merge across its border would have come before
 two tokens. A proposal whose pairs are all compatible is the exact encoding; only failing words are merged
 exactly. Decoding joins token strings with a space, as the library does for a file without a decoder.
 
-Scale: one pass, no shuffle. Each Python worker keeps encodings of pieces between white space, bounded
-in number; the cache only saves time. Texts are read whole.
+Scale: one pass, no shuffle. Each Python worker remembers encodings of pieces of up to 64 characters between
+white space, bounded in bytes; the cache only saves time. Texts are read whole.
 
 Edge cases: null text is empty: no tokens, empty string; the file's special tokens inside a text become their
-ids, as in the library; texts with characters outside the Latin range are normalised and cut by the library.
+ids, as in the library; texts with characters outside the Latin range are normalised and cut by the library,
+and their words are encoded like any other.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,16 @@ from pyspark.sql import functions as F
 
 from terrapart.llm.common import slices, text_of
 
-#: Pieces remembered in each of two generations; what is still in use moves on to the newer one.
-CACHE_UNITS = 200_000
+#: Bytes of pieces and their ids remembered in each of two generations, and the longest piece remembered; what is
+#: still in use moves on to the newer generation.
+CACHE_BYTES = 48 << 20
+CACHE_CHARS = 64
 SLICE_CHARS = 2_000_000
 #: Words of a normalised Latin text: contractions, letters, single digits, other signs.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Characters on which Python's classes and the library's may differ; such texts take the library's own cut.
-UNSAFE = re.compile("[^\\x00-\\x1b\\x20-İĲ-žƀ-ǃǍ-ɀ]|[²³¹¼-¾İ]")
+#: Characters on which Python's classes and the library's may differ, and control characters that do not stand for
+#: themselves in byte characters; such texts take the library's own cut.
+UNSAFE = re.compile("[^\\t-\\r\\x20-\\x7e\\x80-İĲ-žƀ-ǃǍ-ɀ]|[²³¹¼-¾İ]")
 NEVER = np.int64(1) << 40
 
 
@@ -95,8 +100,9 @@ class Codec:
         self.reach: dict[str, int] = {}  # by first two characters, the length of the longest token inside words
         for text in self.inner:
             self.reach[text[:2]] = max(len(text), self.reach.get(text[:2], 1))
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.seen: dict[str | tuple[str], bytes] = {}
+        self.older: dict[str | tuple[str], bytes] = {}
+        self.held = 0
 
     def reachable(self) -> tuple[dict[str, int], dict[str, int]]:
         """Tokens that are the exact encoding of their own string, within words and at their ends."""
@@ -208,39 +214,43 @@ class Codec:
         return found
 
     def cut(self, text: str) -> list[str]:
-        """Words of a text without special tokens, in byte characters or, if ASCII, as they are."""
+        """Words of a safe text without special tokens, in byte characters or, if ASCII, as they are."""
         if text.isascii() and text[:-1].isalpha() and (text[-1] in ".," or text[-1].isalpha()):  # the common cases
             return [text.lower()] if text[-1].isalpha() else [text[:-1].lower(), text[-1]]
-        if UNSAFE.search(text):
-            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         if text.isascii():
             return WORDS.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         return [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in WORDS.findall(text.lower())]
 
-    def units(self, text: str) -> list[str]:
-        """Pieces that are cut alike alone: what stands between white space, in lower case; or one unsafe text."""
+    def units(self, text: str) -> list[str] | list[tuple[str]]:
+        """Pieces that are cut alike alone: what stands between white space, in lower case; of an unsafe text, its words (as tuples)."""
         if UNSAFE.search(text):
-            return [text]
+            return [(w,) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         return text.lower().split() if text.isascii() else unicodedata.normalize("NFC", text).lower().split()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         pieces = [self.splitter.split(t) if "<|" in t else [t] for t in texts]
         parts = [[np.array([self.special[p]], "<u4").tobytes() if p in self.special else self.units(p) for p in row] for row in pieces]
-        if len(self.seen) > CACHE_UNITS:
-            self.older, self.seen = self.seen, {}
+        if self.held > CACHE_BYTES:
+            self.older, self.seen, self.held = self.seen, {}, 0
         seen, older = self.seen, self.older
-        fresh = set(chain.from_iterable(p for row in parts for p in row if isinstance(p, list))).difference(seen)
-        seen.update((u, older[u]) for u in fresh if u in older)
-        fresh.difference_update(seen)
+        missing = set(chain.from_iterable(p for row in parts for p in row if isinstance(p, list))).difference(seen)
+        seen.update((u, older[u]) for u in missing if u in older)
+        fresh = missing.difference(seen)
         if fresh:
-            cuts = [(u, self.cut(u)) for u in fresh]
+            cuts = [(u, list(u) if isinstance(u, tuple) else self.cut(u)) for u in fresh]
             words = self.encode_words(list(set(chain.from_iterable(c for _, c in cuts))))
             seen.update((u, words[c[0]] if len(c) == 1 else b"".join([words[w] for w in c])) for u, c in cuts)
         get = seen.__getitem__
-        return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in row]) for row in parts]
+        out = [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in row]) for row in parts]
+        for u in missing:
+            if len(u[0] if isinstance(u, tuple) else u) > CACHE_CHARS:
+                del seen[u]
+            else:
+                self.held += getsizeof(u) + getsizeof(seen[u])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.token[i] for i in ids])
