@@ -1,8 +1,7 @@
 """Quality rules: document statistics and cross-document line frequency, in DataFrame expressions only.
 
-Lines are normalised (lower case, single spaces) and hashed; for each host the distinct documents that
-hold a line are counted, where equal texts are one document (exact copies are left to deduplication). A
-line held by more than ``max_line_docs`` documents and more than ``max_line_percent`` percent of its host's
+Lines are normalised (lower case, single spaces) and hashed; for each host the distinct documents (by doc_id,
+or by content where that is null) that hold a line are counted, exact copies included. A line held by more than ``max_line_docs`` documents and more than ``max_line_percent`` percent of its host's
 documents is removed. A document that keeps less than ``min_left_percent`` percent of its words is depleted.
 
 Scale: texts never move. What is shuffled is one narrow row for each line; counts are combined before each
@@ -28,6 +27,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 SALTS = 32
+#: What tells documents apart: the id, and for null ids the content.
+DOCUMENT = ["__tp_id", "__tp_content"]
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "n_removed_lines", "kept"]
 
 
@@ -78,7 +79,7 @@ def identified(docs: DataFrame) -> DataFrame:
         {
             "__tp_id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))),
             "__tp_row": F.xxhash64(F.col("source"), F.lit(0), F.col("text"), F.col("doc_id").isNull()),
-            "__tp_content": F.xxhash64(text_of()),
+            "__tp_content": F.when(F.col("doc_id").isNull(), F.xxhash64(text_of())).otherwise(F.lit(0)),
             "__tp_host": F.coalesce(F.col("source"), F.lit("\x00")),
         }
     )
@@ -98,10 +99,10 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 def frequent_lines(docs: DataFrame, max_line_docs: int, max_line_percent: float) -> DataFrame:
     """(host, line hash) above both limits."""
     lines = line_occurrences(docs)
-    counted = lines.groupBy("__tp_host", "__tp_h", "__tp_content").agg(F.lit(1).alias("__tp_one")).groupBy("__tp_host", "__tp_h").agg(F.count("*").alias("__tp_docs"))
+    counted = lines.groupBy("__tp_host", "__tp_h", *DOCUMENT).agg(F.lit(1).alias("__tp_one")).groupBy("__tp_host", "__tp_h").agg(F.count("*").alias("__tp_docs"))
     hosts = (
         identified(docs)
-        .groupBy("__tp_host", "__tp_content")
+        .groupBy("__tp_host", *DOCUMENT)
         .agg(F.lit(1).alias("__tp_one"))
         .groupBy("__tp_host")
         .agg(F.count("*").alias("__tp_host_docs"))
@@ -177,9 +178,9 @@ WITH d AS (
 ), dups AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id
 ), hosts AS (
-  SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source
+  SELECT source, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY source
 ), frequent AS (
-  SELECT l.source, l.k FROM (SELECT source, k, count(DISTINCT t) AS n FROM lines GROUP BY source, k) l
+  SELECT l.source, l.k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM lines GROUP BY source, k) l
   JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
   WHERE l.n > 20 AND l.n * 100 > h.host_docs * 2.0
 ), removed AS (

@@ -10,11 +10,12 @@ from terrapart.llm.quality_rules import RESULTS, passed, quality_rules
 def brute(rows, max_docs, percent, left):
     """rows: (key, text, source); what quality_rules must say of each distinct row."""
     holders, hosts = defaultdict(set), defaultdict(set)
-    for _, text, source in rows:
-        hosts[source].add(text or "")
+    for key, text, source in rows:
+        document = ("text", text or "") if key is None else key
+        hosts[source].add(document)
         for line in (text or "").split("\n"):
             if k := " ".join(re.findall(r"[^\x20\x09-\x0D]+", line)).lower():
-                holders[source, k].add(text or "")
+                holders[source, k].add(document)
     out = {}
     for key, text, source in rows:
         t = text or ""
