@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapart.llm.common import checkpoint_dir, let, release, slices, text_of, written
+from terrapart.llm.common import WORD_BREAKS, checkpoint_dir, let, release, slices, text_of, written
 from terrapart.llm.components import components
 
 SHINGLE = 8
@@ -42,10 +42,11 @@ BINS = BANDS * ROWS
 HUB_SHARE = 200
 BLOCK_CHARS = 1 << 18
 EMPTY = np.uint32(0xFFFFFFFF)
+BREAKS = str.maketrans(dict.fromkeys(WORD_BREAKS, " "))
 
 
 def normalised(line: str) -> str:
-    return " ".join(line.lower().split())
+    return " ".join([w for w in line.lower().translate(BREAKS).split(" ") if w])
 
 
 def shingle_set(line: str, size: int = SHINGLE) -> set[str]:
