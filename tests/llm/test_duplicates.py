@@ -133,6 +133,32 @@ def test_drifting_lines_meet_all_candidates(spark):
     assert kept == set(candidate_components(lines).tolist())
 
 
+def test_families_of_near_lines(spark):
+    """25 families of 60 lines with one or two of 30 words changed: links of 0.8 or more, by exact comparison of all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    lines = []
+    for _ in range(25):
+        base = [word() for _ in range(30)]
+        for _ in range(60):
+            mine = list(base)
+            for at in rng.sample(range(30), rng.randint(1, 2)):
+                mine[at] = word()
+            lines.append(" ".join(mine))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {r.doc_id for r in ld.kept_lines(docs).collect() if len(r.kept)}
+    sets = [ld.shingle_set(x) for x in lines]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i - i % 60, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    exact = forest(np.arange(len(lines)), np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
+    assert kept == set(candidate_components(lines).tolist())
+    merges = len(lines) - len(set(exact.tolist()))
+    assert len(lines) - len(kept) >= 0.97 * merges > 500
+
+
+def test_words_end_at_fixed_characters():
+    assert ld.normalised("A\u00a0b\t c\u3000\x1cd ") == "a\u00a0b c\u3000\x1cd"
+
+
 @pytest.mark.parametrize("block", [2000, 1 << 18])
 def test_bucket_is_compared_in_full(spark, block):
     lines = drifting(200, 30)

@@ -1,10 +1,14 @@
 import hashlib
 import zlib
 
+import random
+
 import numpy as np
 import pytest
 from fixtures import awkward, empty, stored
+from pyspark.sql import functions as F
 
+from terrapart.llm import sharding
 from terrapart.llm import chat_format as cf
 from terrapart.llm import token_file as tf
 from terrapart.llm import word_bpe as wb
@@ -30,6 +34,28 @@ def test_shards(spark, tmp_path):
     assert shard_documents(docs, shards=9).filter("shard = 8").select("doc_id").distinct().count() == len({r.doc_id for r in got if r.grown_shard == 8} - {None}) + (any(r.doc_id is None and r.grown_shard == 8 for r in got))
 
 
+def slots(sharded):
+    return sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in sharded.select("doc_id", "text", "shard", "slot").collect())
+
+
+def test_slots_do_not_depend_on_partitions(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 700) AS text")
+    docs = docs.unionByName(docs.limit(40)).unionByName(docs.filter("doc_id = 5").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n"))
+    settings = {"bucket_bytes": 300, "copies": 20, "most_tasks": 6}  # several buckets a task
+    first = slots(shard_documents(docs.repartition(1), **settings))
+    assert all(slots(shard_documents(docs.repartition(n), **settings)) == first for n in (3, 7))
+    assert len(first) == docs.count()
+
+
+def test_equal_rows_are_spread(spark):
+    docs = spark.range(100_000).selectExpr("7L AS doc_id", "'the same row' AS text").unionByName(spark.range(50).selectExpr("id AS doc_id", "concat('t', id) AS text"))
+    got = shard_documents(docs, bucket_bytes=4096)
+    assert sorted(r.slot for r in got.filter("doc_id = 7 AND text = 'the same row'").select("slot").collect())[-1] >= 99_999
+    placed = sharding.spread_copies(docs.withColumn("__tp_hash", F.xxhash64("doc_id", "text")), 1024)
+    assert placed.groupBy("__tp_hash", "__tp_copy").count().agg(F.max("count")).first()[0] == 1 and placed.count() == 100_050
+    assert got.count() == 100_050 and got.groupBy("shard", "slot").count().filter("count > 1").count() == 0
+
+
 def test_shards_are_shuffled(spark):
     docs = spark.range(2000).selectExpr("id AS doc_id", "'t' || id AS text")
     order = [r.doc_id for r in shard_documents(docs, shards=1).orderBy("slot").collect()]
@@ -72,6 +98,30 @@ def test_token_file(spark, tmp_path, segment):
     assert tf.read_tokens(spark, path, places).count() == len(range(0, len(stream), 97))
 
 
+def unusual(rng, n=800):
+    """Texts with every character up to U+024F and some beyond, and long words without white space."""
+    out = [f"ab{chr(c)}cd {chr(c)} e{chr(c)}" for c in [*range(0x250), 0x300, 0x3B1, 0x431, 0x4E00, 0x3000, 0xFEFF, 0x1F600]]
+    out += ["".join(chr(rng.choice([rng.randint(0, 0x24F), 32, 10, 101, 39])) for _ in range(60)) for _ in range(n)]
+    return [*out, "и ещё один пример текста " * 40, "日本語の文章" * 300, "x" * 5000, "<|endoftext|>" + chr(0) + "é"]
+
+
+def test_encoders_equal_the_library(monkeypatch):
+    texts = unusual(random.Random(2))
+    own, plain = tf.Encoder(tf.default_path()), library(tf.default_path())
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(x) for x in own.encode(texts)] == want and [list(x) for x in own.encode(texts)] == want
+    own.mixed = np.zeros(256, np.uint64)  # all words of one length share a hash
+    assert [list(x) for x in own.encode(texts)] == want
+    monkeypatch.setattr(wb, "CACHE_BYTES", 20_000)
+    codec, plain = wb.Codec(wb.default_path()), library(wb.default_path())
+    plain.no_truncation()
+    for a in range(0, len(texts), 50):
+        part = texts[a : a + 50]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_batch(part)] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+    pieces = [u[0] if isinstance(u, tuple) else u for u in [*codec.seen, *codec.older]]
+    assert max(map(len, pieces)) <= wb.CACHE_CHARS and codec.held < 200_000
+
+
 def test_codes_hold_any_width():
     ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1, 7] * 300, np.uint64)
     levels = tf.pack(ids)
