@@ -14,13 +14,22 @@ pairs. Rows sent are copies = blocks of four strips for each distinct fingerprin
 number of distinct fingerprints, divided by what the counts exclude (about twenty-fold), as the method named
 for this operator is. Memory in a task: one block and a batch.
 
+``similar_documents`` is the form for a similarity: fingerprints of 128 bits over the distinct five-word
+shingles find candidates, and the exact Jaccard index of the shingle sets confirms them. There a strip is a
+range of shingle counts, since sets whose sizes differ by more than the similarity cannot match, tile pairs
+are skipped by sizes and population counts, and the radius leaves a pair at the limit a chance of 0.001 to be
+missed. Texts travel only for documents with a candidate; a block holds its members' shingles while the others
+stream by, and every candidate pair is confirmed unless verified links have joined the two already.
+
 Edge cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle
-make one shingle; null doc_ids take part but name a component only if it has no other id; repeated rows get
-equal results; other columns are ignored; an empty table gives an empty result.
+make one shingle; null doc_ids take part but name a component only if it has no other id (in
+``similar_documents`` a text that has only null ids has component null); repeated rows get equal results;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +39,18 @@ from pyspark.sql import functions as F
 
 from terrapart.llm.common import blocks, text_of, written
 from terrapart.llm.components import components, forest
+from terrapart.llm.line_dedup import mixed
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
 BITS = 64
 TILE = 512
+#: The form for a similarity: words of a shingle, Jaccard index, 64-bit words of a fingerprint, shingles a block holds.
+SIMILAR_SHINGLE = 5
+SIMILAR = 0.8
+WORDS = 2
+BLOCK_SHINGLES = 4_000_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -183,6 +198,204 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; words and case as in fingerprint."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < shingle:
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    h = np.array([xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    n, factor, total = len(h) - shingle + 1, 0x9E3779B97F4A7C15, np.zeros(len(h) - shingle + 1, np.uint64)
+    for j in range(shingle):
+        total += h[j : j + n] * np.uint64(pow(factor, j + 1, 2**64))
+    return np.unique(mixed(total))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WORDS words of majority bits, each from a remixed set of hashes."""
+    out = []
+    for _ in range(WORDS):
+        hashes = mixed(hashes + np.uint64(0xA24BAED4963EE407))
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 4096):
+            ones += np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True))
+    return out
+
+
+def reach(similar: float, bits: int = BITS * WORDS) -> int:
+    """Radius within which fingerprints of sets with that index differ but for a chance of 0.001."""
+    share = math.acos(2 * similar / (1 + similar)) / math.pi
+    return math.ceil(bits * share + 3.1 * math.sqrt(bits * share * (1 - share)))
+
+
+class Sets:
+    """Fingerprints (a row of words each) and shingle counts, in the order of the counts, with ranges of each tile."""
+
+    def __init__(self, size: np.ndarray, fps: np.ndarray):
+        self.order = np.argsort(size, kind="stable")
+        self.size, self.fps = size[self.order], fps[self.order]
+        self.starts = np.arange(0, len(size), TILE)
+        found = np.bitwise_count(self.fps).astype(np.int16)
+        self.low, self.high = (f.reduceat(found, self.starts, axis=0) for f in (np.minimum, np.maximum))
+        self.least, self.most = self.size[self.starts], self.size[np.minimum(self.starts + TILE, len(size)) - 1]
+
+
+def near_sets(left: Sets, right: Sets, radius: int, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius whose sizes allow the index, in pieces of one tile pair."""
+    for k, start in enumerate(left.starts):
+        apart = np.maximum(right.low - left.high[k], left.low[k] - right.high).clip(0).sum(axis=1) > radius
+        apart |= (left.most[k] < similar * right.least) | (right.most < similar * left.least[k])
+        size, own = left.size[start : start + TILE, None], left.fps[start : start + TILE, None]
+        for other in right.starts[~apart]:
+            its = right.size[None, other : other + TILE]
+            near = np.minimum(size, its) >= similar * np.maximum(size, its)
+            near &= np.bitwise_count(own ^ right.fps[None, other : other + TILE]).sum(axis=2, dtype=np.uint16) <= radius
+            if near.any():
+                i, j = np.nonzero(near)
+                yield left.order[start + i], right.order[other + j]
+
+
+def size_strip(size: Column, similar: float) -> Column:
+    """Sets of a strip match only sets of the same strip and its neighbours."""
+    return F.floor(F.log(size.cast("double")) / F.lit(math.log(1 / similar))).cast("int")
+
+
+def dealt_by_size(sets: DataFrame, similar: float, block_rows: int) -> DataFrame:
+    """sets with (block, visits): every set in its own block, and as a guest in the later blocks of its strip and all of the next lower one."""
+    strips = sets.withColumn("strip", size_strip(F.col("size"), similar))
+    counts = dict(strips.groupBy("strip").count().collect())  # one row for each range of sizes, some hundred at most
+    rows_of = lambda s: max(16, min(block_rows, int(BLOCK_SHINGLES * similar ** (s + 1))))
+    last = max(counts, default=0)
+    parts = F.array(*[F.lit(blocks(counts.get(s, 0), rows_of(s))) for s in range(last + 1)])
+    ours = F.pmod(F.pmod(F.xxhash64("node"), F.lit(1 << 20)), F.get(parts, F.col("strip"))).cast("int")
+    own = F.transform(F.sequence(F.lit(0), ours), lambda b: F.struct((F.col("strip") * (1 << 20) + b).alias("block"), (b != ours).cast("int").alias("visits")))
+    lower = F.transform(F.sequence(F.lit(0), F.get(parts, F.col("strip") - 1) - 1), lambda b: F.struct(((F.col("strip") - 1) * (1 << 20) + b).alias("block"), F.lit(1).alias("visits")))
+    stops = F.when(F.col("strip") > 0, F.concat(own, lower)).otherwise(own)
+    out = strips.withColumn("stop", F.explode(stops)).select("stop.*", *sets.columns)
+    return out.repartition("block").sortWithinPartitions("block", "visits", "node")
+
+
+def met_sets(batches: Iterator[pa.RecordBatch], radius: int, similar: float, held) -> Iterator[pa.RecordBatch]:
+    """Feeds (block, visits, node, size, fp...) rows in order to held: open(own rows), then meet(own, guests or None, pairs)."""
+
+    def sets(part: pa.Table) -> Sets:
+        return Sets(part["size"].to_numpy(), np.stack([part[f"fp{w}"].to_numpy() for w in range(WORDS)], axis=1).view(np.uint64))
+
+    block, waiting, own = None, [], None
+
+    def begin() -> Iterator[pa.RecordBatch]:
+        nonlocal own, waiting
+        if waiting:
+            mine = pa.concat_tables(waiting)
+            own, waiting = (mine, sets(mine)), []
+            yield held(mine, None, near_sets(own[1], own[1], radius, similar))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        ids, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.concatenate([[0], np.nonzero((np.diff(ids) != 0) | (np.diff(visits) != 0))[0] + 1, [len(ids)]])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if ids[a] != block:
+                yield from begin()
+                block, own = ids[a], None
+            part = table.slice(a, b - a)
+            if not visits[a]:
+                waiting.append(part)
+                continue
+            yield from begin()
+            if own is not None:
+                yield held(own[0], part, near_sets(own[1], sets(part), radius, similar))
+    yield from begin()
+
+
+def candidate_nodes(sets: DataFrame, radius: int, similar: float, block_rows: int) -> DataFrame:
+    """Nodes that have a candidate partner."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def held(own: pa.Table, guests: pa.Table | None, pairs) -> pa.RecordBatch:
+            here, there = np.zeros(len(own), bool), np.zeros(len(own if guests is None else guests), bool)
+            for i, j in pairs:
+                apart = i != j if guests is None else np.ones(len(i), bool)
+                here[i[apart]], there[j[apart]] = True, True
+            nodes = np.concatenate([own["node"].to_numpy()[here], (own if guests is None else guests)["node"].to_numpy()[there]])
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(nodes))], names=["node"])
+
+        yield from met_sets(batches, radius, similar, held)
+
+    return dealt_by_size(sets, similar, block_rows).mapInArrow(rows, "node bigint").distinct()
+
+
+def confirmed_links(sets: DataFrame, radius: int, similar: float, shingle: int, block_rows: int) -> DataFrame:
+    """Links (a, b) that join all candidate pairs with the index; sets: node, size, fp0, ..., text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, shingles, root = None, [], None
+
+        def held(own: pa.Table, guests: pa.Table | None, pairs) -> pa.RecordBatch:
+            nonlocal mine, shingles, root
+            if guests is None:
+                mine, shingles, root = own, [shingle_hashes(t, shingle) for t in own["text"].to_pylist()], np.arange(len(own))
+                both, roots, shift = shingles, root, 0
+            else:
+                both, shift = [*shingles, *[shingle_hashes(t, shingle) for t in guests["text"].to_pylist()]], len(own)
+                roots = np.concatenate([root, np.arange(shift, len(both))])
+            nodes = own["node"].to_numpy() if guests is None else np.concatenate([own["node"].to_numpy(), guests["node"].to_numpy()])
+            found = []
+            for i, j in pairs:
+                j = j + shift
+                while True:
+                    apart = roots[i] != roots[j]
+                    i, j = i[apart], j[apart]
+                    if not len(i):
+                        break
+                    for x, y in zip(i[:256].tolist(), j[:256].tolist(), strict=True):
+                        if roots[x] == roots[y]:
+                            continue
+                        common = len(np.intersect1d(both[x], both[y], assume_unique=True))
+                        if common >= similar * (len(both[x]) + len(both[y]) - common):
+                            found.append((nodes[x], nodes[y]))
+                            low, high = sorted((roots[x], roots[y]))
+                            roots[roots == high] = low
+                    i, j = i[256:], j[256:]
+            root = roots[: len(own)]  # own places come before guests, and the smallest place is a component's root
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        yield from met_sets(batches, radius, similar, held)
+
+    return dealt_by_size(sets, similar, block_rows).mapInArrow(rows, "a bigint, b bigint")
+
+
+def similar_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE, block_rows: int = 1 << 16) -> DataFrame:
+    """doc_id and ``component_id`` for every row of docs: documents with the Jaccard index ``similar`` or more are linked."""
+    names = ["doc_id", "content", "size", *[f"fp{w}" for w in range(WORDS)]]
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                rows.append((len(hashes), *wide_fingerprint(hashes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * (1 + WORDS))]], names=names)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("content"), text_of().alias("text"))
+    marked = source.mapInArrow(marks, ", ".join(f"{n} bigint" for n in names))
+    marked = written(marked.withColumn("content", F.when(F.col("size") == 0, 0).otherwise(F.col("content"))), "similar-marks")
+    nodes = written(marked.groupBy(*names[1:]).agg(F.min("doc_id").alias("node")), "similar-nodes")
+    sets = nodes.filter("size > 0 AND node IS NOT NULL")
+    radius = reach(similar)
+    some = written(candidate_nodes(sets.select("node", *names[2:]), radius, similar, block_rows), "similar-candidates")
+    met = sets.join(some, "node").join(source.select(F.col("doc_id").alias("node"), "content", "text").dropDuplicates(["node", "content"]), ["node", "content"])
+    texts = written(met.select("node", *names[2:], "text"), "similar-texts")
+    found = written(confirmed_links(texts, radius, similar, shingle, block_rows), "similar-links")
+    roots = written(components(found), "similar-roots")
+    told = nodes.join(roots, "node", "left").select(*names[1:], F.coalesce("root", "node").alias("component_id"))
+    return marked.join(told, names[1:]).select("doc_id", "component_id")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

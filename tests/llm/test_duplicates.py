@@ -64,6 +64,60 @@ def test_simhash_documents(spark):
     assert sh.near_duplicates(empty(spark)).count() == 0
 
 
+def brute_similar(texts, similar=0.8, shingle=5):
+    """Root of each text, by the exact index of all pairs of word shingle sets."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} if len(words) >= shingle else {tuple(words)} - {()})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j])]
+    return forest(np.arange(len(sets)), np.array([i for i, _ in pairs], int), np.array([j for _, j in pairs], int))
+
+
+def near_texts(rng, families=12, copies=12):
+    """Families of texts with some words changed, added or cut off, from near copies to unlike ones."""
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(500)]
+    out = []
+    for _ in range(families):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(3, 300))]
+        for _ in range(copies):
+            mine = list(base)
+            for _ in range(int(len(mine) * rng.choice([0, 0.01, 0.02, 0.04, 0.08]))):
+                mine[rng.randrange(len(mine))] = rng.choice(vocabulary)
+            out.append(" ".join(mine[: len(mine) - rng.choice([0, 0, len(mine) // 10])]))
+    return out
+
+
+@pytest.mark.parametrize("block", [30, 1 << 16])
+def test_similar_documents(spark, block):
+    texts = [*near_texts(random.Random(21)), None, "", " \n", "one", "ONE", "one two", "a b c d e f", "A  b c d e\tf"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("size", F.lit(1)).withColumn("node", F.lit("x"))
+    got = {r.doc_id: r.component_id for r in sh.similar_documents(docs, block_rows=block).collect()}
+    want = brute_similar(texts)
+    empties = [i for i, t in enumerate(texts) if not (t or "").split()]
+    assert all(got[i] == (empties[0] if i in empties else want[i]) for i in range(len(texts)))
+    assert len(set(want.tolist())) < len(texts) - 60
+
+
+def test_large_family_is_confirmed_without_all_pairs(spark):
+    rng = random.Random(2)
+    base = [str(rng.randrange(10**6)) for _ in range(120)]
+    texts = []
+    for _ in range(1200):
+        mine = list(base)
+        mine[rng.randrange(120)] = str(rng.randrange(10**6))
+        texts.append(" ".join(mine))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in sh.similar_documents(docs, block_rows=300).collect()} == {0}
+
+
+def test_similar_documents_awkward(spark):
+    docs = awkward(spark)
+    got = sh.similar_documents(docs).collect()
+    assert len(got) == docs.count() and all(r.doc_id is None or r.component_id <= r.doc_id for r in got)
+    assert sh.similar_documents(empty(spark)).count() == 0
+
+
 def brute_lines(texts):
     """Components of all distinct lines by the exact index, and the kept places."""
     first, order = {}, []

@@ -169,11 +169,10 @@ def test_leaks(spark, index_bytes):
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
-    from test_duplicates import all_within, brute_lines
+    from test_duplicates import brute_lines, brute_similar
     from test_quality import brute
 
     from terrapart.llm import line_dedup as ld
-    from terrapart.llm import simhash as sh
     from terrapart.llm.word_bpe import codec, default_path
 
     rng = random.Random(8)
@@ -197,8 +196,9 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             now = {i: t if mine[i] == full[i] else "\n".join(t.split("\n")[n] for n in mine[i]) for i, t in now.items()}
         elif name == "simhash":
             ids = sorted(now)
-            roots = all_within(np.array([sh.fingerprint(now[i]) for i in ids], np.uint64), 3)
-            now = {i: now[i] for k, i in enumerate(ids) if roots[k] == k}
+            roots = brute_similar([now[i] for i in ids])
+            empties = [i for i in ids if not now[i].split()]
+            now = {i: now[i] for k, i in enumerate(ids) if roots[k] == k and i not in empties[1:]}
         elif name == "decontamination":
             now = {i: t for i, t in now.items() if not brute_leaks(t, bench)}
         got = docs.collect()
