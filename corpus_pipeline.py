@@ -13,7 +13,7 @@ from terrapart.llm.common import written
 from terrapart.llm.decontaminate import decontaminated
 from terrapart.llm.line_dedup import dedup_lines
 from terrapart.llm.quality_rules import passed, quality_rules
-from terrapart.llm.simhash import near_duplicates
+from terrapart.llm.simhash import similar_documents
 from terrapart.llm.word_bpe import digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,8 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    found = near_duplicates(docs)
+    """One document of each group of documents whose five-word shingles have a Jaccard index of 0.8 or more: that with the smallest doc_id."""
+    found = similar_documents(docs)
     others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
