@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,16 +80,33 @@ def parameter_means(runs: DataFrame, parameters: Sequence[str], fitness: str = "
     return sets.select(name.alias("parameter"), value.alias("value"), "n", "mean_fitness", "std_fitness", "mean_eco", "std_eco", "best_fitness", "best_eco")
 
 
+def with_quantiles(found: DataFrame, long: DataFrame, by: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
+    """found (by, n) with linearly interpolated quantiles of long's x; exact, by sorted counts of distinct values, which spill."""
+    counts = long.filter("x IS NOT NULL").groupBy(*by, "x").agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counts.withColumn("__e", F.sum("__c").over(order)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
+    at = lambda place: F.max(F.when((F.col("__e") > place) & (F.col("__e") - F.col("__c") <= place), F.col("x")))
+    picks = []
+    for name, q in quantiles.items():
+        place = F.lit(q) * (F.col("__n") - 1)
+        picks += [at(F.floor(place)).alias(f"__lo_{name}"), at(F.ceil(place)).alias(f"__hi_{name}")]
+    values = ends.groupBy(*by).agg(*picks).withColumnsRenamed({c: f"__k_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]
+    out = found.join(values, same, "left")
+    for name, q in quantiles.items():
+        place = F.lit(q) * (F.col("n") - 1)
+        out = out.withColumn(name, F.col(f"__lo_{name}") + (place - F.floor(place)) * (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")))
+    return out
+
+
 def distribution(rows: DataFrame, metrics: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
     """For each metric (name to lower or higher): count, moments, quartiles, worst, best and range."""
     long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x"), F.lit(d).alias("d")) for m, d in metrics.items()])).alias("s")).select(*by, "s.*")
-    p = F.col("p")
-    found = long.groupBy(*by, "metric", "d").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.min("x").alias("min"), F.max("x").alias("max")
-    )
+    found = long.groupBy(*by, "metric", "d").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    found = with_quantiles(found, long, [*by, "metric"], {"p25": 0.25, "median": 0.5, "p75": 0.75})
     lower = F.col("d") == "lower"
     return found.select(
-        *by, "metric", "n", "mean", "std", p[0].alias("p25"), p[1].alias("median"), p[2].alias("p75"),
+        *by, "metric", "n", "mean", "std", "p25", "median", "p75",
         F.when(lower, F.col("max")).otherwise(F.col("min")).alias("worst"), F.when(lower, F.col("min")).otherwise(F.col("max")).alias("best"), "min", "max", (F.col("max") - F.col("min")).alias("range"),
     )
 
@@ -104,12 +122,11 @@ def metric_ranges(rows: DataFrame, metrics: Sequence[str], group: str = "fitness
 
 def normalised_columns(rows: DataFrame, metrics: Sequence[str], group: str = "fitness_name") -> DataFrame:
     """Min-max values of every metric within its group and over all; 0 where a metric is constant."""
-    out = rows
-    for scope, window in ((group, Window.partitionBy(group)), ("global", Window.partitionBy())):
-        for m in metrics:
-            low, high = F.min(m).over(window), F.max(m).over(window)
-            out = out.withColumn(f"{m}_norm_{scope}", F.coalesce(safe_ratio(F.col(m) - low, high - low), F.col(m).cast("double") * 0.0))
-    return out
+    ends = lambda scope: [f(m).alias(f"__{side}_{m}_{scope}") for m in metrics for side, f in (("low", F.min), ("high", F.max))]
+    each = rows.groupBy(F.col(group).alias("__g")).agg(*ends(group))
+    out = rows.join(each, F.col(group).eqNullSafe(F.col("__g")), "left").join(F.broadcast(rows.agg(*ends("global"))))  # one row
+    scaled = lambda m, low, high: F.coalesce(safe_ratio(F.col(m) - low, high - low), F.col(m).cast("double") * 0.0)
+    return out.select(*rows.columns, *[scaled(m, F.col(f"__low_{m}_{s}"), F.col(f"__high_{m}_{s}")).alias(f"{m}_norm_{s}") for s in (group, "global") for m in metrics])
 
 
 def best_rows(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -167,28 +184,59 @@ def top_n_pearson(rows: DataFrame, x: str, y: str, key: Sequence[str], group: st
     return rows.select(group, F.row_number().over(order).cast("long").alias("n"), so_far.alias("pearson")).filter(F.col("n") >= least)
 
 
-def average_rank(column: str, *by: str) -> Column:
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0
+def global_ranks(rows: DataFrame, columns: Sequence[str], parts: int = 64) -> DataFrame:
+    """The columns' average ranks over all rows (null stays null); no task holds more than a range of values.
+
+    Distinct values are counted and dealt into ranges by approximate quantiles; a value's rank is the number of
+    rows in the ranges before, one row for each range, and of those before it in its own.
+    """
+    out = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    shares = [i / parts for i in range(1, parts)]
+    bounds = out.agg(*[F.percentile_approx(c, shares).alias(c) for c in columns]).first()
+    for c in columns:
+        cuts = F.array(*[F.lit(v) for v in sorted(set(bounds[c] or []))]).cast("array<double>")
+        counts = out.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__c"))
+        counts = counts.withColumn("__part", F.size(F.filter(cuts, lambda b: b < F.col("__v"))))  # noqa: B023
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.groupBy("__part").agg(F.sum("__c").alias("__s")).select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s"))  # at most parts rows
+        inside = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = counts.withColumn("__e", F.sum("__c").over(inside)).join(F.broadcast(starts), "__part")
+        ranks = ranks.select("__v", (F.col("__s") + F.col("__e") - (F.col("__c") - 1) / 2.0).alias("__r"))
+        out = out.join(ranks, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__r")).drop("__v", "__r")
+    return out
 
 
-def top_n_spearman(rows: DataFrame, x: str, y: str, key: Sequence[str], group: str = "fitness_name", least: int = 20) -> DataFrame:
+def top_n_spearman(rows: DataFrame, x: str, y: str, key: Sequence[str], group: str = "fitness_name", least: int = 20, chunk: int = 64) -> DataFrame:
     """Rank correlation over the first n rows by x, for every n; ranks change with n, so each prefix is ranked.
 
-    Quadratic in the rows of a group, which are configurations of a sweep.
+    A task ranks chunk prefixes of one group with numpy; a group's rows go to every task with a longer prefix.
     """
+    from terrapart.functions.stats import average_ranks
+
     order = Window.partitionBy(group).orderBy(F.asc(x), *[F.asc_nulls_last(c) for c in key])
-    ranked = rows.select(group, x, y, F.row_number().over(order).cast("long").alias("r"))
-    ends = ranked.filter(F.col("r") >= least).select(group, F.col("r").alias("n"))
-    prefix = ends.join(ranked, group).filter("r <= n")
-    both = prefix.select(group, "n", average_rank(x, group, "n").alias("rx"), average_rank(y, group, "n").alias("ry"))
-    return both.groupBy(group, "n").agg(pearson("rx", "ry").alias("spearman"))
+    ranked = rows.select(group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.row_number().over(order).cast("long").alias("r"))
+    whole = ranked.withColumn("last", F.max("r").over(Window.partitionBy(group)))
+    dealt = whole.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("r") - 1) / chunk), F.floor((F.col("last") - 1) / chunk))))
+
+    def correlate(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("r")
+        a, b, first = part.x.to_numpy(), part.y.to_numpy(), int(part.chunk.iloc[0]) * chunk
+        found = []
+        for n in range(max(least, first + 1), min(first + chunk, len(a)) + 1):
+            there = ~(np.isnan(a[:n]) | np.isnan(b[:n]))
+            u, v = average_ranks(a[:n][there]), average_ranks(b[:n][there])
+            spread = u.std() * v.std() if len(u) else 0.0
+            found.append((part[group].iloc[0], n, float(((u - u.mean()) * (v - v.mean())).mean() / spread) if spread > 0 else None))
+        return pd.DataFrame(found, columns=[group, "n", "spearman"])
+
+    kind = rows.schema[group].dataType.simpleString()
+    return dealt.groupBy(group, "chunk").applyInPandas(correlate, f"{group} {kind}, n long, spearman double")
 
 
 def correlations(rows: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """a, b, r for every pair of columns."""
     if method == "spearman":
-        rows = rows.select(*[average_rank(c).alias(c) for c in columns])
+        rows = global_ranks(rows, columns)
     pairs = [(a, b) for a in columns for b in columns]
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(a, b).alias("r")) for a, b in pairs])
     return rows.agg(cells.alias("m")).select(F.explode("m").alias("m")).select("m.*")
@@ -210,7 +258,7 @@ def paired(runs: DataFrame, key: Sequence[str], metrics: Sequence[str], seed: st
 
 def paired_differences(pairs: DataFrame) -> DataFrame:
     """n, mean, median, sample deviation, Cohen's dz and t of each pair; all but n null with fewer than two."""
-    found = pairs.filter(F.col("d").isNotNull()).groupBy("cfg_a", "cfg_b", "metric").agg(F.count("*").alias("n_pairs"), F.avg("d").alias("m"), F.median("d").alias("md"), F.stddev_samp("d").alias("sd"))
+    found = pairs.filter(F.col("d").isNotNull()).groupBy("cfg_a", "cfg_b", "metric").agg(F.count("*").alias("n_pairs"), F.avg("d").alias("m"), F.median("d").alias("md"), F.stddev_samp("d").alias("sd"))  # as many values as seeds
     some = lambda c: F.when(F.col("n_pairs") >= 2, c)
     dz = safe_ratio(F.col("m"), F.col("sd"))
     return found.select(

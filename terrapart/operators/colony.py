@@ -2,7 +2,7 @@
 
 Construction draws each node's label after the draws before it, so one fit runs inside one task
 (``run_configs``: one group of a DataFrame for each configuration and seed; nodes and neighbours are small
-model data, at most ``MAX_NODES`` of them, and go along as a broadcast whose size is checked). For one large fit,
+model data, at most ``MAX_MODEL_BYTES``, and go along as a broadcast whose size is checked first). For one large fit,
 ``fit_ants_parallel`` builds all ants of an iteration in parallel with a random stream of their own and
 updates the pheromone table with the relational operators.
 """
@@ -20,14 +20,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_NODES = 100_000
+#: Bytes of a model's features and neighbours; a lattice of 300,000 cells with 31 features has about 120 million.
+MAX_MODEL_BYTES = 1 << 30
+#: Nodes up to which a silhouette's distances are computed once for all labelings.
+KEPT_DISTANCES = 4096
 EPS = 1e-12
 
 
 def as_probabilities(raw: np.ndarray) -> np.ndarray:
     """Finite, non-negative, summing to 1 with the rounding error in the last entry; uniform if all is lost."""
-    p = np.nan_to_num(np.asarray(raw, float), nan=0.0, posinf=0.0, neginf=0.0).clip(0.0)
+    p = np.asarray(raw, float)
     mass = p.sum()
+    if not np.isfinite(mass) or p.min() < 0.0:
+        p = np.nan_to_num(p, nan=0.0, posinf=0.0, neginf=0.0).clip(0.0)
+        mass = p.sum()
     p = p / mass if mass > 1e-15 else np.full(len(p), 1.0 / len(p))
     p[-1] = max(0.0, 1.0 - p[:-1].sum())
     return p / p.sum()
@@ -41,6 +47,18 @@ class Model:
     weight: np.ndarray
     near: np.ndarray
     snn: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    far: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def distances(self, chosen: np.ndarray) -> np.ndarray:
+        """Distances between the chosen nodes, kept for the next labeling."""
+        key = chosen.tobytes()
+        if key not in self.far:
+            self.far = {key: np.concatenate([self.distances_from(chosen, i) for i in range(0, len(chosen), 64)])}
+        return self.far[key]
+
+    def distances_from(self, chosen: np.ndarray, i: int) -> np.ndarray:
+        x = self.x[chosen]
+        return np.sqrt(((x[i : i + 64, None, :] - x[None, :, :]) ** 2).sum(axis=2))
 
 
 @dataclass
@@ -147,7 +165,13 @@ def first_centres(x: np.ndarray, k: int, rng: np.random.Generator, mode: str = "
 
 def draw(p: Partial, tau: np.ndarray, i: int, alpha: float, heuristic: Callable, beta: float) -> int:
     pull = (as_probabilities(tau[i]) + EPS) ** alpha
-    return int(p.rng.choice(p.k, p=as_probabilities(pull * heuristic(p, i, beta))))
+    return picked(p.rng, as_probabilities(pull * heuristic(p, i, beta)))
+
+
+def picked(rng: np.random.Generator, odds: np.ndarray) -> int:
+    """One draw of an index by odds."""
+    ends = odds.cumsum()
+    return min(int(ends.searchsorted(rng.random() * ends[-1], side="right")), len(odds) - 1)
 
 
 def build_once(model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ant: int, n_ants: int, *, heuristic: str, alpha: float, beta: float, start: str = "zeros", moving: bool = True) -> tuple:
@@ -195,7 +219,7 @@ def build_colonies(
             p.labels[i] = rng.integers(k)
             mutated += 1
         else:
-            p.labels[i] = rng.choice(k, p=odds)
+            p.labels[i] = picked(rng, odds)
     return p.labels, centres_of(model, p.labels, k, rng)
 
 
@@ -237,13 +261,14 @@ def rough_edges(model: Model, labels: np.ndarray) -> float:
 
 def silhouette_term(model: Model, labels: np.ndarray, chosen: np.ndarray | None = None) -> float:
     q = np.arange(len(model.x)) if chosen is None else chosen
-    x, w, own = model.x[q], model.weight[q], labels[q]
+    w, own = model.weight[q], labels[q]
     names = np.unique(own)
     member = np.where(own[:, None] == names, w[:, None], 0.0)
     total = member.sum(axis=0)[:, None] - member.T  # without the node itself
-    far = np.empty_like(total)
-    for i in range(0, len(q), 64):  # a block of distances at a time
-        far[:, i : i + 64] = (np.sqrt(((x[i : i + 64, None, :] - x[None, :, :]) ** 2).sum(axis=2)) @ member).T
+    if len(q) <= KEPT_DISTANCES:
+        far = (model.distances(q) @ member).T
+    else:
+        far = np.concatenate([model.distances_from(q, i) @ member for i in range(0, len(q), 64)]).T
     count = (own[:, None] == names).sum(axis=0)[:, None] - (own == names[:, None])
     mean = np.divide(far, total, out=np.full_like(total, np.nan), where=(count > 0) & (total > 0))
     at = np.searchsorted(names, own)
@@ -251,7 +276,8 @@ def silhouette_term(model: Model, labels: np.ndarray, chosen: np.ndarray | None
     mean[at, np.arange(len(q))] = np.inf
     b = np.nanmin(mean, axis=0) if len(names) > 1 else np.full(len(q), np.inf)
     alone = np.isnan(a)
-    scored = ~alone if chosen is not None else np.ones(len(q), bool)
+    # Sampled without others of a larger cluster: left out. Alone in its whole cluster: 0, and counted.
+    scored = ~alone | (np.bincount(labels)[own] == 1) if chosen is not None else np.ones(len(q), bool)
     top = np.maximum(a, b)
     s = np.where(alone | ~np.isfinite(b) | ~(top > 0), 0.0, (b - a) / np.where(top > 0, top, 1.0))
     return float((1.0 - (w[scored] * s[scored]).sum() / max(w[scored].sum(), EPS)) / 2.0)
@@ -364,9 +390,11 @@ class Colony:
 
 
 def collect_model(nodes: DataFrame, edges: DataFrame, snn: DataFrame | None = None) -> tuple[Model, np.ndarray]:
-    """Model and node ids in order; model data only, at most MAX_NODES nodes."""
-    if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} nodes: aggregate to superpixels first")
+    """Model and node ids in order; model data only, at most MAX_MODEL_BYTES."""
+    told = nodes.agg(F.count("*").alias("n"), F.sum(F.size("f") + 2).alias("values")).first()
+    size = 8 * ((told["values"] or 0) + edges.count())
+    if size > MAX_MODEL_BYTES:
+        raise ValueError(f"a model of {size} bytes, more than {MAX_MODEL_BYTES}: aggregate to superpixels first")
     rows = nodes.select("node_id", "f", "weight").toPandas().sort_values("node_id")
     ids = rows.node_id.to_numpy()
     near = edges.select("src", "rank", "dst").toPandas().sort_values(["src", "rank"])

@@ -86,13 +86,11 @@ def knn_features(nodes: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame
         left, right = group[group.side == 0], group[group.side == 1]
         if not len(left) or not len(right):
             return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        d, ids = distances(left.f, right.f), right.node_id.to_numpy()
-        out = []
-        for i, src in enumerate(left.node_id.to_numpy()):
-            order = np.lexsort((ids, d[i]))[: k + 1]
-            order = order[ids[order] != src][:k]
-            out.append(pd.DataFrame({"src": src, "dst": ids[order], "dist": d[i][order]}))
-        return pd.concat(out)
+        right = right.sort_values("node_id")  # equal distances stay in the order of ids
+        d, ids, src = distances(left.f, right.f), right.node_id.to_numpy(), left.node_id.to_numpy()
+        order = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+        found = pd.DataFrame({"src": np.repeat(src, order.shape[1]), "dst": ids[order].ravel(), "dist": np.take_along_axis(d, order, axis=1).ravel()})
+        return found[found.src != found.dst]
 
     pairs, _ = in_blocks(nodes, ["node_id", "f"], block)
     return nearest(pairs.groupBy("pair").applyInPandas(best, "src long, dst long, dist double"), k)
@@ -148,9 +146,9 @@ def disagreement(edges: DataFrame, labels: DataFrame, symmetric: bool = False) -
 def silhouette(nodes: DataFrame, sample: Iterable[int] | None = None, block: int = BLOCK, label: str = "label", least_same: int = 1, fallback: bool = True) -> DataFrame:
     """node_id, label, weight, a, b, s: weighted Euclidean silhouettes of the sampled nodes (all if None).
 
-    a is the weighted mean distance to the own sampled cluster, or to the whole cluster if that holds fewer
-    than least_same others and fallback is set; without fallback such nodes are left out, and a node alone in
-    its cluster scores 0. b is the least mean over the other sampled labels; with none, s is 0.
+    a is the weighted mean distance to the own sampled cluster, or to the whole cluster if the sample holds fewer
+    than least_same others of it and fallback is set; without fallback such nodes are left out. A node alone in
+    its whole cluster scores 0 and counts in either case. b is the least mean over the other sampled labels; with none, s is 0.
     """
     chosen = None if sample is None else nodes.sparkSession.createDataFrame([(int(i),) for i in sample], "node_id long")
     inside = nodes.withColumn("q", F.lit(True)) if chosen is None else nodes.join(chosen.withColumn("q", F.lit(True)), "node_id", "left").withColumn("q", F.coalesce("q", F.lit(False)))
@@ -180,7 +178,7 @@ def silhouette(nodes: DataFrame, sample: Iterable[int] | None = None, block: int
     a = F.when(~few, F.col("wd") / F.nullif("w", F.lit(0.0))).when(F.lit(fallback), F.col("all_wd") / F.nullif("all_w", F.lit(0.0)))
     found = met.groupBy("node_id", "label", "weight").agg(
         F.max(F.when(same, a)).alias("a"),
-        F.max(F.when(same, F.when(few & (not fallback), 1).otherwise(0))).alias("skip"),
+        F.max(F.when(same, F.when(few & (F.col("all_n") > 0) & (not fallback), 1).otherwise(0))).alias("skip"),
         F.min(F.when(~same & (F.col("w") > 0), F.col("wd") / F.nullif("w", F.lit(0.0)))).alias("b"),
     )
     top = F.greatest("a", "b")
