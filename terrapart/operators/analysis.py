@@ -6,6 +6,7 @@ join runs on the seed with the smaller configuration on the left.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -267,15 +268,76 @@ def paired_differences(pairs: DataFrame) -> DataFrame:
     )
 
 
+def t_two_sided(t: Column, freedom: Column) -> Column:
+    """Two-sided p-value of Student's t for whole degrees of freedom, by the finite series of sines and cosines."""
+    angle = F.atan(F.abs(t) / F.sqrt(freedom.cast("double")))
+    even = freedom % 2 == 0
+    square = F.pow(F.cos(angle), F.lit(2.0))
+    terms = F.floor((freedom - F.when(even, 2).otherwise(3)) / 2)  # after the first
+    step = lambda at, j: F.struct((at["term"] * square * F.when(even, (2 * j - 1) / (2 * j)).otherwise((2 * j) / (2 * j + 1))).alias("term"), at["total"].alias("total"))
+    grown = lambda at, j: F.struct(step(at, j)["term"].alias("term"), (at["total"] + step(at, j)["term"]).alias("total"))
+    first = F.when(even, 1.0).otherwise(F.cos(angle))
+    start = F.struct(first.alias("term"), first.alias("total"))
+    places = F.when(terms >= 1, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+    series = F.sin(angle) * F.aggregate(places, start, grown, lambda at: at["total"])
+    inside = F.when(even, series).when(freedom == 1, angle * (2 / math.pi)).otherwise((angle + series) * (2 / math.pi))
+    return F.greatest(F.lit(0.0), 1 - inside)
+
+
+def wilcoxon_table(spark, most: int = 50) -> DataFrame:
+    """n, low, p: exact two-sided p-values of the smaller rank sum, for up to ``most`` pairs (22,000 rows for 50)."""
+    rows = []
+    for n in range(1, most + 1):
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for r in range(1, n + 1):
+            ways[r:] = ways[r:] + ways[:-r]
+        below = np.minimum(1.0, 2 * np.cumsum(ways) / 2.0**n)
+        rows += [(n, float(w), float(p)) for w, p in enumerate(below[: n * (n + 1) // 4 + 1])]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["__n", "__low", "__p"]))
+
+
 def paired_tests(pairs: DataFrame) -> DataFrame:
-    """p-values of each pair of configurations; a group holds the pairs of one left configuration and metric."""
-    from terrapart.functions.stats import paired_pvalues
+    """paired_t_p, wilcoxon_stat and wilcoxon_p of each pair of configurations; null with fewer than two finite differences.
 
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        found = [{"cfg_b": b, **paired_pvalues(part.to_numpy())} for b, part in group.groupby("cfg_b").d]
-        return pd.DataFrame(found).assign(cfg_a=group.cfg_a.iloc[0], metric=group.metric.iloc[0])[["cfg_a", "cfg_b", "metric", "paired_t_p", "wilcoxon_stat", "wilcoxon_p"]]
+    The signed-rank test is exact for up to 50 differences without zeros or ties, else by the normal curve. A
+    pair has one difference for each seed, so its ranks are array expressions.
+    """
 
-    return pairs.groupBy("cfg_a", "metric").applyInPandas(test, "cfg_a string, cfg_b string, metric string, paired_t_p double, wilcoxon_stat double, wilcoxon_p double")
+    @F.pandas_udf("double")
+    def tail(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: math.erfc(x / math.sqrt(2)), na_action="ignore")
+
+    finite = F.col("d").isNotNull() & ~F.isnan("d") & (F.abs("d") != float("inf"))
+    found = pairs.groupBy("cfg_a", "cfg_b", "metric").agg(F.avg(F.when(finite, F.col("d"))).alias("__m"), F.stddev_samp(F.when(finite, F.col("d"))).alias("__sd"), F.collect_list(F.when(finite, F.col("d"))).alias("__d"))
+    found = found.withColumn("__k", F.size("__d")).withColumn("__z", F.filter("__d", lambda x: x != 0)).withColumn("__n", F.size("__z"))
+    alike = lambda x: F.size(F.filter("__z", lambda y: F.abs(y) == F.abs(x)))
+    rank = lambda x: F.size(F.filter("__z", lambda y: F.abs(y) < F.abs(x))) + (alike(x) + 1) / 2.0
+    total = lambda array: F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
+    side = lambda keep: total(F.transform(F.filter("__z", keep), lambda x: rank(x).cast("double")))
+    found = found.withColumn("__low", F.least(side(lambda x: x > 0), side(lambda x: x < 0)))
+    found = found.withColumn("__tied", total(F.transform("__z", lambda x: (alike(x) * alike(x) - 1).cast("double"))))
+    met = found.join(F.broadcast(wilcoxon_table(pairs.sparkSession)), ["__n", "__low"], "left")
+    n = F.col("__n").cast("double")
+    variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("__tied") / 48.0
+    z = F.when(variance > 0, F.abs(F.col("__low") - n * (n + 1) / 4.0) / F.sqrt(variance)).otherwise(0.0)
+    exact = (F.col("__n") <= 50) & (F.col("__n") == F.col("__k")) & (F.col("__tied") == 0)
+    normal = tail(F.when(~exact & (F.col("__n") > 0), z))
+    p = F.when(F.col("__n") == 0, 1.0).when(exact, F.col("__p")).otherwise(F.least(F.lit(1.0), normal))
+    some = lambda c: F.when(F.col("__k") >= 2, c)
+    t = F.col("__m") / (F.nullif("__sd", F.lit(0.0)) / F.sqrt(F.col("__k").cast("double")))
+    return met.select("cfg_a", "cfg_b", "metric", some(t_two_sided(t, F.col("__k") - 1)).alias("paired_t_p"), some(F.col("__low")).alias("wilcoxon_stat"), some(p).alias("wilcoxon_p"))
+
+
+def significance(runs: DataFrame, key: Sequence[str], metrics: Sequence[str], seed: str = "seed") -> DataFrame:
+    """Differences and p-values of every pair of configurations in one table."""
+    pairs = paired(runs, key, metrics, seed)
+    return paired_differences(pairs).join(paired_tests(pairs), ["cfg_a", "cfg_b", "metric"])
+
+
+def by_significance(table: DataFrame) -> DataFrame:
+    """The table in the order of a report: by metric and p-values, nulls last."""
+    return table.orderBy("metric", F.asc_nulls_last("wilcoxon_p"), F.asc_nulls_last("paired_t_p"), "cfg_a", "cfg_b")
 
 
 def best_so_far(history: DataFrame, value: str = "fitness", by: Sequence[str] = (), order: str = "iteration") -> DataFrame:

@@ -408,7 +408,7 @@ def collect_model(nodes: DataFrame, edges: DataFrame, snn: DataFrame | None = No
     return Model(np.stack(rows.f.to_numpy()).astype(float), rows.weight.to_numpy(float), table, shared), ids
 
 
-RUN_SCHEMA = "run_id long, seed long, algorithm string, pheromone_update string, fitness_name string, alpha double, beta double, evaporation double, q double, status string, error string, best_fitness double, recomputed_fitness double, centroid_fitness double, silhouette_fitness double, snn_fitness double, runtime_sec double, config_json string, labels array<long>, history string"
+RUN_SCHEMA = "run_id long, seed long, mode string, feature_mode string, n_ants long, n_iterations long, final_pheromone_min double, final_pheromone_max double, final_iter_mean double, final_iter_std double, algorithm string, pheromone_update string, fitness_name string, alpha double, beta double, evaporation double, q double, status string, error string, best_fitness double, recomputed_fitness double, centroid_fitness double, silhouette_fitness double, snn_fitness double, runtime_sec double, config_json string, labels array<long>, history string"
 
 
 def run_configs(configs: DataFrame, model: Model, n_ants: int = 15, n_iterations: int = 20, clusters: int = 5, chosen: np.ndarray | None = None) -> DataFrame:
@@ -419,12 +419,15 @@ def run_configs(configs: DataFrame, model: Model, n_ants: int = 15, n_iterations
         own, some = held.value
         row = group.iloc[0]
         base = {"run_id": row.run_id, "seed": row.seed, "algorithm": row.algorithm, "pheromone_update": row.pheromone_update, "fitness_name": row.fitness_name, "alpha": row.alpha, "beta": row.beta, "evaporation": row.evaporation, "q": row.q}
+        base |= {"mode": row.get("mode"), "feature_mode": row.get("feature_mode"), "n_ants": n_ants, "n_iterations": n_iterations}
         base = {k: (v.item() if hasattr(v, "item") else v) for k, v in base.items()}
         began = time.perf_counter()
         try:
             found = Colony(row.algorithm, row.pheromone_update, row.fitness_name, clusters, row.alpha, row.beta, row.evaporation, row.q, n_ants, n_iterations, seed=int(row.seed), chosen=some).fit(own)
             again = {f"{o}_fitness": score(own, found.labels, found.centres, o, some)[0] for o in OBJECTIVES}
             out = {"status": "ok", "best_fitness": found.fitness, "recomputed_fitness": again[f"{row.fitness_name}_fitness"], "labels": found.labels.tolist(), "history": json.dumps(found.history)} | again
+            last = found.history[-1]
+            out |= {"final_pheromone_min": last["pheromone_min"], "final_pheromone_max": last["pheromone_max"], "final_iter_mean": last["mean"], "final_iter_std": last["std"]}
         except Exception:
             out = {"status": "failed", "error": traceback.format_exc()[-2000:]}
         out |= {"runtime_sec": time.perf_counter() - began, "config_json": json.dumps(base, sort_keys=True)}

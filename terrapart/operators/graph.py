@@ -230,6 +230,17 @@ def adjusted_rand(rows: DataFrame, one: str, two: str) -> DataFrame:
     return sums.select(F.coalesce((F.col("s") - expected) / F.nullif((a + b) / 2.0 - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
 
+def adjusted_rands(rows: DataFrame, by: list[str], one: str, two: str) -> DataFrame:
+    """by, ari: the adjusted Rand index of two labelings for each group; 1 where both put all its rows into one cluster."""
+    pairs = lambda n: n * (n - 1) / 2.0
+    cells = rows.filter(F.col(one).isNotNull() & F.col(two).isNotNull()).groupBy(*by, F.col(one).alias("k1"), F.col(two).alias("k2")).agg(F.count("*").cast("double").alias("n"))
+    side = lambda c: cells.groupBy(*by, c).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias(f"s_{c}"))
+    sums = cells.groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("n")).join(side("k1"), by).join(side("k2"), by)
+    a, b = F.col("s_k1"), F.col("s_k2")
+    expected = a * b / F.nullif(pairs(F.col("n")), F.lit(0.0))
+    return sums.select(*by, F.coalesce((F.col("s") - expected) / F.nullif((a + b) / 2.0 - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
+
+
 def neighbour_support(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """src, label, support: share of each label among a node's labelled neighbours."""
     met = edges.join(labels.filter("label >= 0").select(F.col("node_id").alias("dst"), "label"), "dst")

@@ -159,16 +159,24 @@ def consistency(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
 SUMMARY = ["combined_ecological_consistency", "agriculture_homogeneity", "natural_homogeneity", "artificial_share_total"]
 
 
-def overall_consistency(per_cluster: DataFrame) -> DataFrame:
-    """One row of plain and weighted means over clusters with a score; no row if there are none."""
+SCORED = ["valid_scored_pixels", *SUMMARY]
+
+
+def overall_by(per_cluster: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Plain and weighted means over the clusters with a score, for each group; no row for a group without any."""
     weight = F.col("valid_scored_pixels").cast("double")
     out = []
     for name in SUMMARY:
         out += [F.avg(name).alias(f"mean_{name}"), weighted(F.col(name), weight).alias(f"weighted_{name}")]
-    found = per_cluster.filter(F.col("combined_ecological_consistency").isNotNull()).agg(F.count("*").alias("__n"), *out)
+    found = per_cluster.filter(F.col("combined_ecological_consistency").isNotNull()).groupBy(*by).agg(F.count("*").alias("__n"), *out)
     return found.filter("__n > 0").drop("__n")
 
 
+def overall_consistency(per_cluster: DataFrame) -> DataFrame:
+    """One row of plain and weighted means over clusters with a score; no row if there are none."""
+    return overall_by(per_cluster, [])
+
+
 def evaluate_labels(pixels: DataFrame, labels: DataFrame, cover: DataFrame, legend: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(per cluster, overall) consistency of a labeling of nodes."""
     clusters = labels_to_pixels(pixels, labels).withColumnRenamed("label", "cluster")

@@ -27,6 +27,11 @@ def climate_columns(names: Sequence[str]) -> tuple[list[str], list[str]]:
     return found
 
 
+def with_cell_class(pixels: DataFrame, classes: DataFrame, column: str = "koppen_class") -> DataFrame:
+    """pixels with the class of their cell (row, col); cells without one are left out."""
+    return pixels.drop(column).join(classes.select("row", "col", column).filter(F.col(column).isNotNull()), ["row", "col"])
+
+
 def complete_rows(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows without null or NaN in columns."""
     return rows.na.drop(subset=list(columns) if columns else None)

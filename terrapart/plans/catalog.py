@@ -206,23 +206,14 @@ register("sample_classes", sampled, "SELECT p.row AS id_row, p.col AS id_col, q.
 
 def resampled(spark: SparkSession, d: str) -> DataFrame:
     px = fx.pixels(spark, d)
-    return rounded(ra.resample_bilinear(px.filter("row < 40 AND col < 40").select("row", "col"), px.select("row", "col", "value"), 0.5, 0.25))
+    return rounded(ra.resample_bilinear(px.select("row", "col"), px.select("row", "col", "value"), 0.5, 0.25))
 
 
-register("resample_bilinear", resampled, """WITH t AS (SELECT row, col, row * 0.5 + 0.25 AS y, col * 0.5 + 0.25 AS x FROM fx_pixels WHERE row < 40 AND col < 40),
+register("resample_bilinear", resampled, """WITH t AS (SELECT row, col, row * 0.5 + 0.25 AS y, col * 0.5 + 0.25 AS x FROM fx_pixels),
 k AS (SELECT t.*, floor(y)::BIGINT + i AS r, floor(x)::BIGINT + j AS c FROM t, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
 SELECT k.row, k.col, round(sum((1 - abs(y - r)) * (1 - abs(x - c)) * s.value) / sum((1 - abs(y - r)) * (1 - abs(x - c))), 6) AS value FROM k JOIN fx_pixels s ON s.row = r AND s.col = c GROUP BY k.row, k.col""")
 
 
-def resampled_all(spark: SparkSession, d: str) -> DataFrame:
-    """The whole target grid; resample_bilinear takes the corner that its SQL has."""
-    px = fx.pixels(spark, d)
-    return rounded(ra.resample_bilinear(px.select("row", "col"), px.select("row", "col", "value"), 0.5, 0.25))
-
-
-register("resample_bilinear_all", resampled_all)
-
-
 def features_of(rows: DataFrame, more: bool) -> DataFrame:
     return rounded(ra.climate_features(rows, "temperature", "rain", more).drop("temperature", "rain"))
 
@@ -292,16 +283,40 @@ register("compactness", lambda s, d: rounded(gr.compactness(fx.nodes(s, d))), f"
 DISAGREE_SQL = f"e AS ({SPACE_SQL}), dis AS (SELECT sum(CASE WHEN x.label <> y.label THEN 1.0::DOUBLE ELSE 0 END) / (count(*) + 1e-12) AS v FROM e JOIN fx_nodes x ON x.node_id = src JOIN fx_nodes y ON y.node_id = dst)"
 register("disagreement_directed", lambda s, d: rounded(gr.disagreement(space_edges(s, d), labels(s, d))), f"WITH {DISAGREE_SQL} SELECT round(v, 6) AS disagreement FROM dis")
 register("disagreement_symmetric", lambda s, d: rounded(gr.disagreement(space_edges(s, d), labels(s, d), True)), f"WITH {DISAGREE_SQL.replace('FROM e JOIN', f'FROM ({UNDIRECTED_SQL.format(edges='e')}) e JOIN').replace('= src', '= e.a').replace('= dst', '= e.b')} SELECT round(v, 6) AS disagreement FROM dis")
-SAMPLE = [i for i in range(0, 500, 5)]
+SAMPLE_SIZE = 100
+
+
+def seeded(s: SparkSession, d: str) -> list[int] | None:
+    return gr.seeded_sample(fx.nodes(s, d), SAMPLE_SIZE)
+
+
+def draw_sql(n: int) -> str:
+    """The seeded draw from ids 0 to n - 1, as a list."""
+    return str(np.sort(np.random.default_rng(0).choice(n, size=SAMPLE_SIZE, replace=False)).tolist())
+
+
+#: The draw for the numbers of nodes that the driver's tables have.
+DRAWN_SQL = "list_contains(CASE (SELECT count(*) FROM fx_nodes) " + " ".join(f"WHEN {n} THEN {draw_sql(n)}" for n in (500, 2000)) + " END, node_id)"
 SIL_SQL = """q AS (SELECT * FROM fx_nodes WHERE {where}), d AS (SELECT a.node_id, a.label, a.weight, b.label AS other, sum(b.weight * list_distance(a.f, b.f)) / sum(b.weight) AS m
   FROM q a JOIN q b ON a.node_id <> b.node_id GROUP BY ALL),
 s AS (SELECT node_id, label, weight, max(m) FILTER (label = other) AS a, min(m) FILTER (label <> other) AS b FROM d GROUP BY ALL),
 sil AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM s),
 silm AS (SELECT sum(weight * s) / sum(weight) AS mean, count(*) AS n FROM sil)"""
 SIL_SELECT = "SELECT round(mean, 6) AS silhouette, round((1 - mean) / 2, 6) AS silhouette_term, n FROM silm"
-SOME_SQL = SIL_SQL.format(where="node_id < 500 AND node_id % 5 = 0")
+SOME_SQL = SIL_SQL.format(where=DRAWN_SQL)
 register("silhouette_full", lambda s, d: rounded(gr.silhouette_mean(gr.silhouette(fx.nodes(s, d)))), f"WITH {SIL_SQL.format(where='true')} {SIL_SELECT}")
-register("silhouette_sampled", lambda s, d: rounded(gr.silhouette_mean(gr.silhouette(fx.nodes(s, d), SAMPLE, fallback=False))), f"WITH {SOME_SQL} {SIL_SELECT}")
+register("silhouette_sampled", lambda s, d: rounded(gr.silhouette_mean(gr.silhouette(fx.nodes(s, d), seeded(s, d), fallback=False))), f"WITH {SOME_SQL} {SIL_SELECT}")
+
+
+def with_lone_node(s: SparkSession, d: str) -> DataFrame:
+    """Silhouettes of the draw with its smallest node alone in a cluster: it scores 0 and counts."""
+    drawn = seeded(s, d)
+    nodes = fx.nodes(s, d).withColumn("label", F.when(F.col("node_id") == drawn[0], 99).otherwise(F.col("label")).cast("long"))
+    return rounded(gr.silhouette_mean(gr.silhouette(nodes, drawn, fallback=False)))
+
+
+LONE_SQL = SOME_SQL.replace("SELECT * FROM fx_nodes", "SELECT * REPLACE (CASE WHEN node_id = min(node_id) OVER () THEN 99 ELSE label END AS label) FROM fx_nodes", 1)
+register("silhouette_lone_node", with_lone_node, f"WITH {LONE_SQL} {SIL_SELECT}")
 CUT_SQL = SNN_SPACE_SQL + ", cut AS (SELECT coalesce(sum(weight) FILTER (x.label = y.label), 0) AS internal, coalesce(sum(weight) FILTER (x.label <> y.label), 0) AS external, sum(snn.weight) AS total, count(*) AS edges FROM (SELECT a, b, weight FROM snn) snn JOIN (SELECT node_id, label FROM fx_nodes) x ON x.node_id = a JOIN (SELECT node_id, label FROM fx_nodes) y ON y.node_id = b)"
 register("snn_cut", lambda s, d: rounded(gr.snn_cut(snn(s, d), labels(s, d))), CUT_SQL + f" SELECT {r6('internal', 'external', 'total', 'external / total AS cut')}, edges FROM cut")
 
@@ -310,8 +325,7 @@ def fitness(s: SparkSession, d: str, objective: str) -> DataFrame:
     nodes = fx.nodes(s, d)
     term = {
         "centroid": lambda: gr.compactness(nodes).withColumnRenamed("compactness", "t"),
-        "silhouette": lambda: gr.silhouette_mean(gr.silhouette(nodes, SAMPLE, fallback=False)).withColumnRenamed("silhouette_term", "t"),
-        "silhouette_all": lambda: gr.silhouette_mean(gr.silhouette(nodes)).withColumnRenamed("silhouette_term", "t"),
+        "silhouette": lambda: gr.silhouette_mean(gr.silhouette(nodes)).withColumnRenamed("silhouette_term", "t"),
         "snn": lambda: gr.snn_cut(snn(s, d), labels(s, d)).withColumnRenamed("cut", "t"),
     }[objective]()
     return rounded(gr.mixed_fitness(term, "t", gr.disagreement(space_edges(s, d), labels(s, d))))
@@ -319,9 +333,7 @@ def fitness(s: SparkSession, d: str, objective: str) -> DataFrame:
 
 FIT_SELECT = "SELECT round(0.7 * t + 0.3 * v, 6) AS fitness, round(t, 6) AS term, round(v, 6) AS spatial FROM dis, "
 register("fitness_centroid", lambda s, d: fitness(s, d, "centroid"), f"WITH {COMPACT_SQL}, {DISAGREE_SQL} {FIT_SELECT} (SELECT term AS t FROM compact)")
-register("fitness_silhouette", lambda s, d: fitness(s, d, "silhouette"), f"WITH {SOME_SQL}, {DISAGREE_SQL} {FIT_SELECT} (SELECT (1 - mean) / 2 AS t FROM silm)")
-register("fitness_silhouette_all", lambda s, d: fitness(s, d, "silhouette_all"))
-register("silhouette_seeded", lambda s, d: rounded(gr.silhouette_mean(gr.silhouette(fx.nodes(s, d), gr.seeded_sample(fx.nodes(s, d), 100), fallback=False))))
+register("fitness_silhouette", lambda s, d: fitness(s, d, "silhouette"), f"WITH {SIL_SQL.format(where='true')}, {DISAGREE_SQL} {FIT_SELECT} (SELECT (1 - mean) / 2 AS t FROM silm)")
 register("fitness_snn", lambda s, d: fitness(s, d, "snn"), f"{CUT_SQL}, {DISAGREE_SQL.partition('), dis AS')[2].join(['dis AS', ''])} {FIT_SELECT} (SELECT external / total AS t FROM cut)")
 
 
@@ -366,8 +378,8 @@ raw AS (SELECT g.node_id, g.label, least(greatest(0.2 * 0.9 + coalesce(a, 0), 1e
 SELECT node_id, label, round(t / (sum(t) OVER (PARTITION BY node_id) + 1e-12), 6) AS tau FROM raw""",
     )
 register("spatial_support", lambda s, d: rounded(gr.neighbour_support(space_edges(s, d), labels(s, d))), f"WITH e AS ({SPACE_SQL}) SELECT src, label, round(count(*) / sum(count(*)) OVER (PARTITION BY src), 6) AS support FROM e JOIN fx_nodes n ON n.node_id = e.dst GROUP BY src, label")
-register("normalize_probabilities", lambda s, d: exploded(fx.nodes(s, d).select("node_id", vectors.normalize_probabilities(F.slice("f", 1, 5)).alias("p")), "p"), """WITH v AS (SELECT node_id, unnest(range(5)) AS label, greatest(unnest(f[1:5]), 0) AS x FROM fx_nodes), t AS (SELECT *, sum(x) OVER (PARTITION BY node_id) AS m FROM v)
-SELECT node_id, label, round(CASE WHEN m <= 1e-15 THEN 0.2 ELSE x / m END, 6) AS p FROM t""")
+register("normalize_probabilities", lambda s, d: exploded(fx.nodes(s, d).select("node_id", vectors.normalize_probabilities(F.col("f")).alias("p")), "p"), """WITH v AS (SELECT node_id, unnest(range(64)) AS label, greatest(unnest(f), 0) AS x FROM fx_nodes), t AS (SELECT *, sum(x) OVER (PARTITION BY node_id) AS m FROM v)
+SELECT node_id, label, round(CASE WHEN m <= 1e-15 THEN 1 / 64 ELSE x / m END, 6) AS p FROM t""")
 
 
 def rows_of(scores: Column, nodes: DataFrame) -> DataFrame:
@@ -375,12 +387,13 @@ def rows_of(scores: Column, nodes: DataFrame) -> DataFrame:
 
 
 def heuristic_centroid(s: SparkSession, d: str) -> DataFrame:
-    """Two fixed centres in the first two features, beta 2."""
-    return rows_of(gr.centroid_scores(F.slice("f", 1, 2), [[0.0, 0.0], [0.5, 0.1], [-0.5, 0.2]], 2.0), fx.nodes(s, d))
+    """A zero centre and two fixed ones over all features, beta 2."""
+    return rows_of(gr.centroid_scores(F.col("f"), CENTRES, 2.0), fx.nodes(s, d))
 
 
-register("heuristic_centroid_oneshot", heuristic_centroid, """WITH v AS (SELECT node_id, power(0.85 + 1e-12, 2) AS a, power(1 / ((f[1] - 0.5) * (f[1] - 0.5) + (f[2] - 0.1) * (f[2] - 0.1) + 1e-6) + 1e-12, 2) AS b,
-power(1 / ((f[1] + 0.5) * (f[1] + 0.5) + (f[2] - 0.2) * (f[2] - 0.2) + 1e-6) + 1e-12, 2) AS c FROM fx_nodes)
+CENTRES = [[0.0] * 64, [round(0.02 * (i % 7) - 0.05, 2) for i in range(64)], [round(0.03 * (i % 5) - 0.04, 2) for i in range(64)]]
+CLOSE_SQL = "power(1 / (list_sum(list_transform(list_zip(f, {0}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + 1e-6) + 1e-12, 2)"
+register("heuristic_centroid_oneshot", heuristic_centroid, f"""WITH v AS (SELECT node_id, power(0.85 + 1e-12, 2) AS a, {CLOSE_SQL.format(f'{CENTRES[1]}::DOUBLE[]')} AS b, {CLOSE_SQL.format(f'{CENTRES[2]}::DOUBLE[]')} AS c FROM fx_nodes)
 SELECT node_id, unnest(range(3)) AS label, unnest([round(a / (a + b + c), 6), round(b / (a + b + c), 6), round(c / (a + b + c), 6)]) AS p FROM v""")
 
 
@@ -474,30 +487,67 @@ WIDE_SQL = "SELECT " + ", ".join(f"max(fit) FILTER (fitness_name = '{o}') AS {o}
 register("objective_corr", lambda s, d: rounded(an.objective_correlations(summary(s, d), KEY[1:], "fit", OBJECTIVES)), f"WITH u AS ({WIDE_SQL}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM u" for a in OBJECTIVES for b in OBJECTIVES))
 
 
-def all_pairs_of_runs(s: SparkSession, d: str) -> DataFrame:
-    return an.paired(clean_runs(s, d), KEY, ["best_fitness", "eco"])
-
-
 def pairs_of_runs(s: SparkSession, d: str) -> DataFrame:
-    """Part of the pairs, as in the SQL of paired_differences."""
-    return an.paired(clean_runs(s, d).filter("fitness_name = 'snn' AND beta = 1.0 AND evaporation = 0.1"), KEY, ["best_fitness", "eco"])
+    return an.paired(clean_runs(s, d), KEY, ["best_fitness", "eco"])
 
 
-PAIRS_SQL = f"""n AS (SELECT {CFG_SQL} AS cfg, seed, best_fitness, eco FROM ({CLEAN_SQL}) WHERE fitness_name = 'snn' AND beta = 1 AND evaporation = 0.1),
+PAIRS_SQL = f"""n AS (SELECT {CFG_SQL} AS cfg, seed, best_fitness, eco FROM ({CLEAN_SQL})),
 d AS (SELECT a.cfg AS cfg_a, b.cfg AS cfg_b, unnest(['best_fitness', 'eco']) AS metric, unnest([a.best_fitness - b.best_fitness, a.eco - b.eco]) AS d FROM n a JOIN n b ON a.seed = b.seed AND a.cfg < b.cfg),
 g AS (SELECT cfg_a, cfg_b, metric, count(*) AS n_pairs, avg(d) AS m, median(d) AS md, stddev_samp(d) AS sd FROM d GROUP BY ALL)"""
 register("paired_differences", lambda s, d: rounded(an.paired_differences(pairs_of_runs(s, d))), f"WITH {PAIRS_SQL} SELECT cfg_a, cfg_b, metric, n_pairs, " + r6(*[f"CASE WHEN n_pairs >= 2 THEN {e} END AS {n}" for e, n in (("m", "mean_diff"), ("md", "median_diff"), ("sd", "std_diff"), ("m / nullif(sd, 0)", "cohen_dz"), ("m / nullif(sd, 0) * sqrt(n_pairs)", "paired_t_stat"))]) + " FROM g")
-register("paired_pvalues", lambda s, d: rounded(an.paired_tests(all_pairs_of_runs(s, d))))
-register("paired_differences_all", lambda s, d: rounded(an.paired_differences(all_pairs_of_runs(s, d))))
+#: Closed forms for up to five pairs, as there are five seeds: Student's t with 1 to 4 degrees of freedom, all sums of ranks, the error function's series.
+PVALUE_SQL = PAIRS_SQL.rpartition("),")[0] + """),
+r AS (SELECT *, rank() OVER (PARTITION BY cfg_a, cfg_b, metric, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY cfg_a, cfg_b, metric, abs(d)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY cfg_a, cfg_b, metric, abs(d)) AS c FROM d),
+g AS (SELECT cfg_a, cfg_b, metric, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd, count(*) FILTER (d <> 0) AS k, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)) AS low, coalesce(sum(c * c - 1) FILTER (d <> 0), 0) AS tied FROM r GROUP BY ALL),
+subsets AS (SELECT k, list_sum(list_transform(range(k), lambda i: ((b >> i) & 1) * (i + 1))) AS s FROM (VALUES (1), (2), (3), (4), (5)) v(k), range(32) q(b) WHERE b < (1 << k)),
+h AS (SELECT *, atan(abs(m / nullif(sd, 0) * sqrt(n)) / sqrt(n - 1)) AS o, k * (k + 1) * (2 * k + 1) / 24 - tied / 48 AS v FROM g WHERE n >= 2),
+p AS (SELECT *, CASE n WHEN 2 THEN 2 * o / pi() WHEN 3 THEN sin(o) WHEN 4 THEN 2 / pi() * (o + sin(o) * cos(o)) WHEN 5 THEN sin(o) * (1 + cos(o) * cos(o) / 2) END AS a, CASE WHEN v > 0 THEN abs(low - k * (k + 1) / 4) / sqrt(2 * v) ELSE 0 END AS z FROM h),
+w AS (SELECT *, CASE WHEN k = 0 THEN 1 WHEN k = n AND tied = 0 THEN least(1, 2 * (SELECT count(*) FROM subsets WHERE subsets.k = p.k AND s <= low) / (1 << k))
+  ELSE least(1, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(30), lambda i: power(-1, i) * power(z, 2 * i + 1) / (factorial(i::INT) * (2 * i + 1))))) END AS wp FROM p)"""
+register("paired_pvalues", lambda s, d: rounded(an.paired_tests(pairs_of_runs(s, d))), f"WITH {PVALUE_SQL} SELECT cfg_a, cfg_b, metric, {r6('1 - a AS paired_t_p', 'low AS wilcoxon_stat', 'wp AS wilcoxon_p')} FROM w UNION ALL SELECT cfg_a, cfg_b, metric, NULL, NULL, NULL FROM g WHERE n < 2")
+SIGNIFICANCE_SQL = " JOIN ".join(f"({ENTRIES[n][1]})" for n in ("paired_differences", "paired_pvalues"))
+ENTRIES["significance"] = (lambda s, d: rounded(an.by_significance(an.significance(clean_runs(s, d), KEY, ["best_fitness", "eco"]))), f"SELECT * FROM {SIGNIFICANCE_SQL} USING (cfg_a, cfg_b, metric)")
 register(
     "union_migrate",
     lambda s, d: rounded(an.union_migrate(summary(s, d).select("algorithm", "fit"), summary(s, d).filter("algorithm = 'alg_1'").select(F.lit("alg_0").alias("algorithm"), "fit", F.lit("rerun").alias("origin")), "alg_0")),
     f"WITH u AS ({SUMMARY_SQL}) SELECT algorithm, {r6('fit')}, NULL::VARCHAR AS origin FROM u WHERE algorithm <> 'alg_0' UNION ALL SELECT 'alg_0', {r6('fit')}, 'rerun' FROM u WHERE algorithm = 'alg_1'",
 )
-register("best_so_far", lambda s, d: rounded(an.best_so_far(clean_runs(s, d).filter("seed = 0").groupBy("algorithm", F.col("alpha").alias("iteration")).agg(F.min("best_fitness").alias("fitness")), by=["algorithm"])), f"WITH h AS (SELECT algorithm, alpha AS iteration, min(best_fitness) AS fitness FROM ({CLEAN_SQL}) WHERE seed = 0 GROUP BY ALL) SELECT algorithm, {r6('iteration', 'fitness', 'min(fitness) OVER (PARTITION BY algorithm ORDER BY iteration) AS best_so_far')} FROM h")
+register("best_so_far", lambda s, d: rounded(an.best_so_far(clean_runs(s, d).groupBy("algorithm", "seed", F.col("alpha").alias("iteration")).agg(F.min("best_fitness").alias("fitness")), by=["algorithm", "seed"])), f"WITH h AS (SELECT algorithm, seed, alpha AS iteration, min(best_fitness) AS fitness FROM ({CLEAN_SQL}) GROUP BY ALL) SELECT algorithm, seed, {r6('iteration', 'fitness', 'min(fitness) OVER (PARTITION BY algorithm, seed ORDER BY iteration) AS best_so_far')} FROM h")
 register("iteration_stats", lambda s, d: rounded(an.iteration_stats(fx.runs(s, d).select(F.col("alpha").alias("iteration"), F.col("best_fitness").alias("fitness")))), f"SELECT alpha AS iteration, {r6('min(best_fitness) AS iteration_best', 'avg(best_fitness) AS mean', 'stddev_pop(best_fitness) AS std')} FROM fx_runs GROUP BY alpha")
 register("quality_gate", lambda s, d: an.quality_gate(fx.runs(s, d), None, ["best_fitness", "eco"], 100), "SELECT count(*) AS n_rows, 0::BIGINT AS n_bad, 0::BIGINT AS n_failures, count(*) >= 100 AS passed FROM fx_runs")
 
+register(
+    "cell_class_join",
+    lambda s, d: ra.with_cell_class(fx.pixels(s, d).select("row", "col", "superpixel"), fx.pixels(s, d).select("row", "col", F.when(F.col("row") % 3 != 0, F.col("koppen_class")).alias("koppen_class"))),
+    "SELECT row, col, superpixel, koppen_class FROM fx_pixels WHERE row % 3 <> 0 AND koppen_class IS NOT NULL",
+)
+
+
+def run_rows(s: SparkSession, d: str) -> DataFrame:
+    """Three labelings by arithmetic, as runs, with the Rand index against the given labels and their land-use scores."""
+    from terrapart.plans import model as mo
+
+    px = fx.pixels(s, d).select("row", "col", F.col("superpixel").cast("long").alias("node_id"))
+    found = px.select("node_id").distinct().select("node_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("run_id"))
+    found = found.select("run_id", F.lit(0).cast("long").alias("seed"), "node_id", ((F.col("node_id") * (F.col("run_id") + 3) + F.col("run_id")) % 5).alias("label"))
+    base = px.select("node_id").distinct().withColumn("label", F.col("node_id") % 4)
+    cover = px.select("row", "col", (F.col("node_id") % 50).cast("int").alias("clc_class"))
+    runs = found.groupBy("run_id", "seed").agg(F.count("*").alias("n_labels"))
+    out = mo.with_comparisons(runs, found, base, px, cover)
+    return rounded(out.select("run_id", "seed", "n_labels", "ari_vs_kmeans", "mean_combined_ecological_consistency", "weighted_combined_ecological_consistency"))
+
+
+RUNS_SQL = "(VALUES (0), (1), (2)) v(run_id)"
+RUN_SQL = ENTRIES["evaluate_label_set"][1].rpartition("\nSELECT ")[0].replace("superpixel % 5 AS cluster", "run_id * 10 + (superpixel * (run_id + 3) + run_id) % 5 AS cluster").replace("FROM fx_pixels WHERE superpixel", f"FROM fx_pixels, {RUNS_SQL} WHERE superpixel")
+RUN_SQL += f""",
+score AS (SELECT cluster // 10 AS run_id, avg(e) AS plain, sum(scored * e) / (sum(scored) + 1e-12) AS weighted FROM per WHERE e IS NOT NULL GROUP BY 1),
+cells AS (SELECT run_id, (superpixel * (run_id + 3) + run_id) % 5 AS x, superpixel % 4 AS y, count(*)::DOUBLE AS n FROM (SELECT DISTINCT superpixel FROM fx_pixels WHERE superpixel IS NOT NULL), {RUNS_SQL} GROUP BY ALL),
+whole AS (SELECT run_id, sum(n * (n - 1) / 2) AS s, sum(n) AS m FROM cells GROUP BY run_id), one AS (SELECT run_id, sum(n * (n - 1) / 2) AS a FROM (SELECT run_id, x, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY run_id),
+two AS (SELECT run_id, sum(n * (n - 1) / 2) AS b FROM (SELECT run_id, y, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY run_id)
+SELECT run_id::BIGINT AS run_id, 0::BIGINT AS seed, m::BIGINT AS n_labels, {r6('coalesce((s - a * b / (m * (m - 1) / 2)) / nullif((a + b) / 2 - a * b / (m * (m - 1) / 2), 0), 1) AS ari_vs_kmeans', 'plain AS mean_combined_ecological_consistency', 'weighted AS weighted_combined_ecological_consistency').replace(', 6)', f' + {SHIFT}, 6)')}
+FROM whole JOIN one USING (run_id) JOIN two USING (run_id) JOIN score USING (run_id)"""
+ENTRIES["run_row"] = (run_rows, RUN_SQL)
+
 # --- models and colonies ------------------------------------------------------------------------------------
 
 

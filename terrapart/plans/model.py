@@ -98,16 +98,32 @@ def compare_solutions(nodes: DataFrame, edges: DataFrame, snn: DataFrame, soluti
 
 
 #: The key of a run for resuming.
-RUN_KEY = ["fitness_name", "algorithm", "pheromone_update", "alpha", "beta", "evaporation", "q", "seed"]
+RUN_KEY = ["fitness_name", "algorithm", "pheromone_update", "alpha", "beta", "evaporation", "q", "seed", "feature_mode", "mode"]
 
 
-def sweep_configs(spark: SparkSession, algorithms: Sequence[str], updates: Sequence[str], objectives: Sequence[str], alphas: Sequence[float], betas: Sequence[float], evaporations: Sequence[float], qs: Sequence[float], seeds: Sequence[int]) -> DataFrame:
-    """The grid of a sweep with seeds; names are checked."""
+def sweep_configs(spark: SparkSession, algorithms: Sequence[str], updates: Sequence[str], objectives: Sequence[str], alphas: Sequence[float], betas: Sequence[float], evaporations: Sequence[float], qs: Sequence[float], seeds: Sequence[int], feature_mode: str = "raw", mode: str = "superpixels") -> DataFrame:
+    """The grid of a sweep with seeds, for one feature set and mode; names are checked."""
     unknown = (set(algorithms) - set(co.ALGORITHMS)) | (set(objectives) - set(co.OBJECTIVES))
     if unknown:
         raise ValueError(f"unknown: {sorted(unknown)}")
     axes = {"fitness_name": list(objectives), "algorithm": list(algorithms), "pheromone_update": list(updates), "alpha": list(alphas), "beta": list(betas), "evaporation": list(evaporations), "q": list(qs)}
-    return an.with_seeds(an.config_grid(spark, axes), seeds)
+    return an.with_seeds(an.config_grid(spark, axes), seeds).withColumns({"feature_mode": F.lit(feature_mode), "mode": F.lit(mode)})
+
+
+def with_comparisons(runs: DataFrame, labels: DataFrame, baseline: DataFrame, pixels: DataFrame | None = None, cover: DataFrame | None = None, legend: DataFrame | None = None) -> DataFrame:
+    """runs (run_id, seed, ...) with ari_vs_kmeans and, given a cover, the land-use scores of their labelings.
+
+    labels: run_id, seed, node_id, label; baseline: node_id, label. All runs are scored in one aggregation.
+    """
+    key = ["run_id", "seed"]
+    both = labels.join(baseline.select("node_id", F.col("label").alias("__base")), "node_id")
+    out = runs.join(gr.adjusted_rands(both, key, "label", "__base").withColumnRenamed("ari", "ari_vs_kmeans"), key, "left")
+    if pixels is None or cover is None:
+        return out
+    classes = lc.with_legend(pixels.select("row", "col", "node_id").join(cover.select("row", "col", "clc_class"), ["row", "col"]).filter(~F.col("clc_class").isin(0, 999)), legend)
+    named = labels.select("node_id", F.struct(*key, "label").alias("cluster"))
+    per = lc.consistency(classes.join(named, "node_id")).select("cluster.*", *lc.SCORED)
+    return out.join(lc.overall_by(per, key), key, "left")
 
 
 def run_sweep(configs: DataFrame, model: co.Model, path: str, most: int | None = None, **settings) -> DataFrame:

@@ -71,6 +71,24 @@ def append_runs(runs: DataFrame, path: str, partitions: Sequence[str] = PARTITIO
     runs.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
+def append_csv(rows: DataFrame, path: str, sep: str = ";") -> None:
+    """Append rows as files with a header each to the CSV table at path, in the order of its columns; read_csv reads them as one table."""
+    spark = rows.sparkSession
+    if exists(spark, path):
+        known = spark.read.option("header", True).option("sep", sep).csv(path).columns
+        if set(known) != set(rows.columns):
+            raise ValueError(f"columns differ: {sorted(set(known) ^ set(rows.columns))}")
+        rows = rows.select(*known)
+    rows.write.mode("append").option("header", True).option("sep", sep).option("emptyValue", "").csv(path)
+
+
+def read_climate_classes(spark: SparkSession, pixels_path: str, classes_path: str, index: bool = True) -> DataFrame:
+    """Pixels of one CSV with the climate class of the other, by cell; cells without a class are left out."""
+    from terrapart.operators.raster import with_cell_class
+
+    return with_cell_class(read_csv(spark, pixels_path, index=index), read_csv(spark, classes_path, index=index))
+
+
 def overwrite(rows: DataFrame, path: str, sep: str | None = None) -> None:
     """Parquet, or CSV with a header if a separator is given."""
     writer = rows.write.mode("overwrite")

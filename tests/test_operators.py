@@ -163,13 +163,13 @@ def test_fitness_takes_all_nodes(spark, monkeypatch):
     rows = [(i, rng.normal(size=2).tolist(), i % 2, 1.0, float(i // 25), float(i % 25)) for i in range(30)]
     monkeypatch.setattr(fx, "nodes", lambda s, d: spark.createDataFrame(rows, "node_id long, f array<double>, label long, weight double, r double, c double"))
     want = gr.silhouette_mean(gr.silhouette(fx.nodes(spark, ""))).first()
-    assert want.n == 30 and catalog.queries()["fitness_silhouette_all"](spark, "").first().term == pytest.approx(want.silhouette_term, abs=1e-6)
+    assert want.n == 30 and catalog.queries()["fitness_silhouette"](spark, "").first().term == pytest.approx(want.silhouette_term, abs=1e-6)
 
 
 def test_whole_grid_is_resampled(spark, monkeypatch):
     cells = {(r, c): float(r * r + 3 * c) for r in range(45) for c in range(43)}
     monkeypatch.setattr(fx, "pixels", lambda s, d: spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row long, col long, value double"))
-    got = {(r.row, r.col): r.value for r in catalog.queries()["resample_bilinear_all"](spark, "").collect()}
+    got = {(r.row, r.col): r.value for r in catalog.queries()["resample_bilinear"](spark, "").collect()}
     want = {}
     for r, c in cells:
         y, x = r * 0.5 + 0.25, c * 0.5 + 0.25
@@ -186,7 +186,7 @@ def test_all_configurations_are_paired(spark, monkeypatch):
     for r in rows:
         by.setdefault("|".join(map(str, r[:6])), {})[r[6]] = r[7:9]
     want = {(a, b, m): np.mean([by[a][s][i] - by[b][s][i] for s in range(3)]) for a in by for b in by if a < b for i, m in enumerate(["best_fitness", "eco"])}
-    got = {(r.cfg_a, r.cfg_b, r.metric): r.mean_diff for r in catalog.queries()["paired_differences_all"](spark, "").collect()}
+    got = {(r.cfg_a, r.cfg_b, r.metric): r.mean_diff for r in catalog.queries()["paired_differences"](spark, "").collect()}
     assert got.keys() == want.keys() and len(want) == 12 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
     assert {(r.cfg_a, r.cfg_b, r.metric) for r in catalog.queries()["paired_pvalues"](spark, "").collect()} == want.keys()
 
@@ -230,3 +230,52 @@ def test_monitor(spark, tmp_path):
     monitor.watch(monitor.run_stream(spark, str(tmp_path / "runs"), runs.schema), "watched", str(tmp_path / "check")).awaitTermination()
     got = {r.algorithm: r for r in spark.table("watched").collect()}
     assert (got["a"].n, got["a"].mean, got["b"].n_bad) == (2, 2.0, 1)
+
+
+def test_native_tests_equal_the_numpy_ones(spark):
+    from terrapart.functions.stats import paired_pvalues
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for pair in range(60):
+        n = int(rng.integers(0, 12)) if pair % 7 else 70
+        d = rng.normal(size=n) if pair % 3 else rng.integers(-2, 3, n) / 4.0
+        want[str(pair)] = paired_pvalues(np.array(d, float))
+        rows += [("a", str(pair), "m", float(x)) for x in d] + [("a", str(pair), "m", None)]
+    got = an.paired_tests(spark.createDataFrame(rows, "cfg_a string, cfg_b string, metric string, d double")).collect()
+    assert len(got) == 60
+    for r in got:
+        for name, value in want[r.cfg_b].items():
+            assert (r[name] is None) == (value is None) and (value is None or abs(r[name] - value) < 1e-9), (r, want[r.cfg_b])
+
+
+def test_global_ranks_and_quantiles(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    x = pd.DataFrame({"a": rng.integers(0, 40, 500) / 4.0, "b": rng.normal(size=500)})
+    x.loc[::50, "a"] = None
+    rows = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x.itertuples(index=False)], "a double, b double")
+    got = sorted(tuple(r) for r in an.global_ranks(rows.filter("a IS NOT NULL"), ["a", "b"], 7).collect())
+    there = x.dropna()
+    assert got == sorted(zip(there.a.rank(), there.b.rank(), strict=True))
+    found = an.distribution(rows, {"a": "lower"}).first()
+    assert [found.p25, found.median, found.p75] == there.a.quantile([0.25, 0.5, 0.75]).tolist()
+
+
+def test_csv_append_keeps_one_table(spark, tmp_path):
+    from terrapart.sources import tables as st
+
+    path = str(tmp_path / "runs")
+    st.append_csv(spark.createDataFrame([(1, "x")], "n long, s string"), path)
+    st.append_csv(spark.createDataFrame([("y", 2)], "s string, n long"), path)
+    assert sorted((r.n, r.s) for r in st.read_csv(spark, path, sep=";").collect()) == [(1, "x"), (2, "y")]
+    with pytest.raises(ValueError, match="columns differ"):
+        st.append_csv(spark.createDataFrame([(1,)], "n long"), path)
+
+
+def test_lone_node_counts_without_fallback(spark):
+    rows = [(0, [0.0], 1, 1.0), (1, [1.0], 1, 1.0), (9, [9.0], 2, 1.0), (10, [2.0], 3, 1.0), (11, [2.5], 3, 1.0)]
+    nodes = spark.createDataFrame(rows, "node_id long, f array<double>, label long, weight double")
+    got = {r.node_id: r.s for r in gr.silhouette(nodes, [0, 1, 9, 10], fallback=False).collect()}
+    assert set(got) == {0, 1, 9} and got[9] == 0.0  # 10 has another in its cluster, but not in the sample
