@@ -5,6 +5,11 @@ candidates and parses what they hold before it reports a span: DER private keys
 (``der``), OpenSSH private keys by their length-prefixed fields (``ssh``), and signed tokens by the JSON of
 their header and payload (``jwt``). Random strings of the same alphabets are not reported by the method.
 
+Candidates are runs in one line, PEM bodies (header fields before them are skipped), and runs wrapped over
+lines without a PEM frame; a line break may also be written as backslash and letter. A wrapped run ends where
+the key's own outermost length says, so that words on the next line do no harm. A PEM body whose header fields
+say that it is encrypted cannot be parsed; it counts (``der``) if it is whole blocks of the named vector's size.
+
 Scale: one pass, no shuffle; texts reach Python in Arrow batches and only spans come back. Memory follows a
 batch of texts. Every text is scanned whole.
 
@@ -34,18 +39,21 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "jwt", "der", "ssh"]
 
-#: Candidates of the method.
+#: Candidates of the method. Repeats are possessive, so that a long text is scanned in linear time.
 RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END")
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----((?:(?:\\[rn]|\s)*+[A-Za-z-]++: [^\n\\]*+)*+)((?:[A-Za-z0-9+/=\s]++|\\[rn])++)-----END")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3Bl)[A-Za-z0-9+/]{40,76}+(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+[A-Za-z0-9+/]++={0,2}+)++")
+VECTOR = re.compile(r"DEK-Info: *[A-Z0-9-]+,([0-9A-Fa-f]{16,32})(?![0-9A-Fa-f])")
 RUN16 = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
+BREAK = re.compile(r"\\[rn]|\s+")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def decode64(run: str) -> bytes:
     """Bytes of a base64 or base64url run, padding optional; empty if it is neither."""
-    body = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+    body = BREAK.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -72,14 +80,19 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 INTEGER, OCTETS, OID, SEQUENCE, CURVE = 0x02, 0x04, 0x06, 0x30, 0xA0
+#: The object identifiers of password-based encryption, PKCS #5 and PKCS #12.
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def der_key(data: bytes) -> bool:
-    """Whether data is a private key: RSA (nine integers), PKCS#8, or an elliptic-curve key."""
+    """Whether data is a private key: RSA (nine integers), PKCS#8 plain or encrypted, or an elliptic-curve key."""
     top = der_items(data)
     if not top or len(top) != 1 or top[0][0] != SEQUENCE:
         return False
     parts = der_items(top[0][1])
+    if parts and [tag for tag, _ in parts] == [SEQUENCE, OCTETS]:
+        algorithm = der_items(parts[0][1])
+        return bool(algorithm) and algorithm[0][0] == OID and algorithm[0][1].startswith(ENCRYPTION)
     if not parts or parts[0][0] != INTEGER:
         return False
     tags = [tag for tag, _ in parts]
@@ -93,11 +106,21 @@ def der_key(data: bytes) -> bool:
     return False
 
 
-def ssh_key(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key: magic, three strings, key count, public and private strings."""
+def der_end(data: bytes) -> int:
+    """Bytes of the element data begins with, by its length field; 0 if data does not begin with a sequence."""
+    if len(data) < 6 or data[0] != SEQUENCE:
+        return 0
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    if width > 4:
+        return 0
+    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+
+
+def ssh_end(data: bytes) -> int:
+    """Bytes of the OpenSSH private key data begins with, 0 for none: magic, three strings, key count, public and private strings."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return 0
     at = len(magic)
 
     def string() -> bytes | None:
@@ -109,10 +132,36 @@ def ssh_key(data: bytes) -> bool:
         return data[at - length : at] if at <= len(data) else None
 
     if any(string() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(string() for _ in range(keys)) and string() is not None and at == len(data)
+    return at if 1 <= keys <= 16 and all(string() for _ in range(keys)) and string() is not None else 0
+
+
+def key_kind(data: bytes) -> int:
+    """Place in KINDS of the private key that data is; 0 for none."""
+    return 4 if der_key(data) else 5 if data and ssh_end(data) == len(data) else 0
+
+
+def wrapped_key(run: str) -> tuple[int, int]:
+    """(kind, end in run) of the key a run over several lines begins with; kind 0 for none."""
+    body = BREAK.sub("", run).partition("=")[0]
+    whole = len(body) // 4 * 4
+    data = decode64(body[:whole]) + decode64(body[whole:])
+    size = der_end(data) or ssh_end(data)
+    kind = key_kind(data[:size]) if 0 < size <= len(data) else 0
+    if not kind:
+        return 0, 0
+    left, at = (size * 4 + 2) // 3, 0
+    for gap in BREAK.finditer(run):
+        if gap.start() - at >= left:
+            break
+        left -= gap.start() - at
+        at = gap.end()
+    end = at + left
+    while run[end : end + 1] == "=":
+        end += 1
+    return kind, end
 
 
 def signed_token(run: str) -> bool:
@@ -134,19 +183,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def edge(breaks: list[tuple[int, int]], at: int) -> int:
+    """Where at comes to lie when the breaks that touch it, one after the other, are passed over."""
+    for start, end in breaks:
+        if at not in (start, end):
+            break
+        at = end if at == start else start
+    return at
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     found = []
     if "eyJ" in text:
         found += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if signed_token(m.group())]
-    bodies = [(m.start(1), m.group(1).rstrip(), 64) for m in PEM.finditer(text)] if "PRIVATE KEY" in text else []
-    bodies += [(m.start(), m.group(), 64) for m in RUN64.finditer(text)]
-    bodies += [(m.start(), m.group(), 16) for m in RUN16.finditer(text)]
-    for start, run, base in bodies:
-        data = decode64(run) if base == 64 else bytes.fromhex(run[: len(run) // 2 * 2])
-        kind = 4 if der_key(data) else 5 if ssh_key(data) else 0
+    for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
+        data = decode64(m.group(2))
+        vector = VECTOR.search(m.group(1))
+        sealed = vector and "ENCRYPTED" in m.group(1) and len(data) >= 64 and len(data) % (len(vector.group(1)) // 2) == 0
+        kind = 4 if sealed else key_kind(data)
         if kind:
-            lead = len(run) - len(run.lstrip())
-            found.append((start + lead, kind, start + len(run)))
+            inner = [b.span() for b in BREAK.finditer(m.group(2))]
+            found.append((m.start(2) + edge(inner, 0), kind, m.start(2) + edge(inner[::-1], len(m.group(2)))))
+    for m in RUN64.finditer(text):
+        found += [(m.start(), kind, m.end()) for kind in [key_kind(decode64(m.group()))] if kind]
+    for m in WRAPPED.finditer(text):
+        kind, end = wrapped_key(m.group())
+        found += [(m.start(), kind, m.start() + end)] if kind else []
+    for m in RUN16.finditer(text):
+        run = m.group()
+        found += [(m.start(), kind, m.end()) for kind in [key_kind(bytes.fromhex(run[: len(run) // 2 * 2]))] if kind]
     return found
 
 
