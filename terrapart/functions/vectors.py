@@ -33,12 +33,14 @@ def finite(x: Column) -> Column:
 
 
 def normalize_probabilities(values: Column) -> Column:
-    """Non-finite entries become 0, negative ones 0; the rest is scaled to sum 1, uniform if there is nothing."""
+    """Non-finite entries become 0, negative ones 0; the rest is scaled to sum 1, uniform if there is nothing; the last entry takes the rounding error."""
     clean = F.transform(values, lambda x: F.when(finite(x), F.greatest(x, F.lit(0.0))).otherwise(0.0))
     scaled = lambda c: F.transform(
         F.array(total(c)), lambda s: F.transform(c, lambda x: F.when(s <= 1e-15, 1.0 / F.size(c)).otherwise(x / F.when(s <= 1e-15, 1.0).otherwise(s)))
     )[0]
-    return F.transform(F.array(clean), scaled)[0]
+    first = lambda p: F.slice(p, 1, F.size(p) - 1)
+    closed = lambda p: F.when(F.size(p) < 2, p).otherwise(F.concat(first(p), F.array(F.greatest(F.lit(0.0), 1.0 - total(first(p))))))
+    return F.transform(F.transform(F.array(clean), scaled), closed)[0]
 
 
 def row_features(temperature: Column, rain: Column) -> dict[str, Column]:

@@ -161,12 +161,31 @@ def top_overlap(rows: DataFrame, key: Sequence[str], fitness: str, eco: str, n:
     return ranked.groupBy(group).agg(F.count_if((F.col("a") <= n) & (F.col("b") <= n)).alias("overlap"))
 
 
-def top_n_std(rows: DataFrame, rank_by: str, metrics: Sequence[str], key: Sequence[str], group: str | None = "fitness_name", least: int = 10, ascending: bool = True) -> DataFrame:
-    """Sample deviation of each metric over the first n rows of a ranking, for every n from least on."""
+def top_n_std(rows: DataFrame, rank_by: str, metrics: Sequence[str], key: Sequence[str], group: str | None = "fitness_name", least: int = 10, ascending: bool = True, parts: int = 64) -> DataFrame:
+    """Sample deviation of each metric over the first n rows of a ranking, for every n from least on; over all rows if group is None.
+
+    No task holds a whole ranking: rows are dealt into ranges of rank_by, which are summed up on their own (sums of
+    differences from the metric's mean, so that they stay small) and get the totals of the ranges before them. Rows
+    without a rank_by come first when ascending, else last; ties go by key, and equal values share a range.
+    """
     by = [group] if group else []
-    order = Window.partitionBy(*by).orderBy(F.asc(rank_by) if ascending else F.desc(rank_by), *[F.asc_nulls_last(c) for c in key])
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.select(*by, F.row_number().over(order).cast("long").alias("n"), *[F.stddev_samp(m).over(so_far).alias(m) for m in metrics]).filter(F.col("n") >= least)
+    sign = 1.0 if ascending else -1.0
+    value = sign * F.col(rank_by).cast("double")
+    ends = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("cuts"), *[F.avg(m).alias(m) for m in metrics]).first()
+    cuts = F.array(*[F.lit(v) for v in sorted(set(ends["cuts"] or []))]).cast("array<double>")
+    range_of = F.when(F.col(rank_by).isNull(), -1 if ascending else parts + 1).otherwise(F.size(F.filter(cuts, lambda c: c < value)))
+    off = {m: F.col(m).cast("double") - F.lit(ends[m]).cast("double") for m in metrics}
+    terms = {"__n": F.lit(1)} | {f"__{p}_{m}": e for m in metrics for p, e in (("c", F.col(m).isNotNull().cast("long")), ("s", F.coalesce(off[m], F.lit(0.0))), ("q", F.coalesce(off[m] * off[m], F.lit(0.0))))}
+    dealt = rows.select(*by, rank_by, *key, range_of.alias("__part"), *[e.alias(n) for n, e in terms.items()])
+    order = Window.partitionBy(*by, "__part").orderBy(F.asc(rank_by) if ascending else F.desc(rank_by), *[F.asc_nulls_last(c) for c in key])
+    inside = dealt.select(*by, "__part", *[F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in terms])
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = dealt.groupBy(*by, "__part").agg(*[F.sum(n).alias(n) for n in terms])
+    starts = sums.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__part").alias("__k"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__b{n}") for n in terms])
+    met = inside.join(starts, [F.col("__part") == F.col("__k"), *[F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]])
+    so_far = lambda n: F.col(n) + F.col(f"__b{n}")
+    std = lambda m: F.when(so_far(f"__c_{m}") > 1, F.sqrt(F.greatest(F.lit(0.0), so_far(f"__q_{m}") - so_far(f"__s_{m}") * so_far(f"__s_{m}") / so_far(f"__c_{m}")) / (so_far(f"__c_{m}") - 1)))
+    out = met.select(*by, so_far("__n").cast("long").alias("n"), *[std(m).alias(m) for m in metrics]).filter(F.col("n") >= least)
     return out.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("std")) for m in metrics])).alias("s")).select(*by, "n", "s.*")
 
 
@@ -345,8 +364,10 @@ def best_so_far(history: DataFrame, value: str = "fitness", by: Sequence[str] =
     return history.withColumn("best_so_far", F.min(value).over(window))
 
 
-def iteration_stats(ants: DataFrame, by: Sequence[str] = ("iteration",)) -> DataFrame:
-    return ants.groupBy(*by).agg(F.min("fitness").alias("iteration_best"), F.avg("fitness").alias("mean"), F.stddev_pop("fitness").alias("std"))
+def iteration_stats(ants: DataFrame, by: Sequence[str] = ("iteration",), pheromone: str | None = None) -> DataFrame:
+    """Best, mean and deviation of the fitness of each iteration, and the pheromone's ends if its column is named."""
+    ends = [F.min(pheromone).alias("pheromone_min"), F.max(pheromone).alias("pheromone_max")] if pheromone else []
+    return ants.groupBy(*by).agg(F.min("fitness").alias("iteration_best"), F.avg("fitness").alias("mean"), F.stddev_pop("fitness").alias("std"), *ends)
 
 
 def relabelled(runs: DataFrame, column: str, old: str, new: str) -> DataFrame:

@@ -26,6 +26,15 @@ def nearest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows as a checkpoint in the shared folder, so that the next round does not compute this one again; rows as they are where none is named."""
+    spark = rows.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows
+
+
 def knn_lattice(nodes: DataFrame, k: int = 16, size: float | None = None) -> DataFrame:
     """Edges (src, rank, dst, dist) to the k nearest nodes by position (r, c), itself left out.
 
@@ -53,8 +62,9 @@ def knn_lattice(nodes: DataFrame, k: int = 16, size: float | None = None) -> Dat
             return met if done is None else done.unionByName(met)
         whole = Window.partitionBy("src")
         sure = met.withColumn("__n", F.count("*").over(whole)).withColumn("__far", F.max("dist").over(whole)).filter((F.col("__n") >= k) & (F.col("__far") <= size)).drop("__n", "__far")
+        sure = settled(sure)
         done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(sure.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_anti")
+        todo = settled(todo.join(sure.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_anti"))
         if not todo.limit(1).count():
             return done
         size *= 2

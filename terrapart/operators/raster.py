@@ -11,7 +11,7 @@ from terrapart.functions import vectors
 from terrapart.functions.landcover import null_if_nan
 
 #: Columns that are no features, and the marks of the two feature groups in column names.
-NOT_FEATURES = ["row", "col", "easting", "northing", "pixel_id", "superpixel", "superpixel_compact", "cluster", "label"]
+NOT_FEATURES = ["row", "col", "easting", "northing", "pixel_id", "superpixel", "superpixel_compact"]
 TEMPERATURE_MARK, RAIN_MARK = "temp", "padavine"
 
 

@@ -470,6 +470,9 @@ register(
 register("top50_overlap", lambda s, d: an.top_overlap(summary(s, d), KEY, "fit", "eco"), f"WITH u AS ({SUMMARY_SQL}), r AS (SELECT fitness_name, row_number() OVER (PARTITION BY fitness_name ORDER BY fit, {TIE_SQL}) AS a, row_number() OVER (PARTITION BY fitness_name ORDER BY eco DESC, {TIE_SQL}) AS b FROM u) SELECT fitness_name, count(*) FILTER (a <= 50 AND b <= 50) AS overlap FROM r GROUP BY fitness_name")
 CURVE_SQL = f"WITH u AS ({SUMMARY_SQL}), r AS (SELECT fitness_name, row_number() OVER w AS n, stddev_samp(fit) OVER w AS a, stddev_samp(eco) OVER w AS b, corr(fit, eco) OVER w AS c FROM u WINDOW w AS (PARTITION BY fitness_name ORDER BY fit, {TIE_SQL} ROWS UNBOUNDED PRECEDING))"
 register("topn_std_curves", lambda s, d: rounded(an.top_n_std(summary(s, d), "fit", ["fit", "eco"], KEY)), CURVE_SQL + " SELECT fitness_name, n, 'fit' AS metric, round(a, 6) AS std FROM r WHERE n >= 10 UNION ALL SELECT fitness_name, n, 'eco', round(b, 6) FROM r WHERE n >= 10")
+DOWN_SQL = CURVE_SQL.replace("ORDER BY fit,", "ORDER BY fit DESC NULLS LAST,").replace("PARTITION BY fitness_name ", "{by}")
+register("topn_std_opposite", lambda s, d: rounded(an.top_n_std(summary(s, d), "fit", ["fit", "eco"], KEY, ascending=False)), DOWN_SQL.format(by="PARTITION BY fitness_name ") + " SELECT fitness_name, n, 'fit' AS metric, round(a, 6) AS std FROM r WHERE n >= 10 UNION ALL SELECT fitness_name, n, 'eco', round(b, 6) FROM r WHERE n >= 10")
+register("topn_std_global", lambda s, d: rounded(an.top_n_std(summary(s, d), "eco", ["eco"], KEY, group=None, ascending=False)), DOWN_SQL.replace("ORDER BY fit DESC", "ORDER BY eco DESC").format(by="") + " SELECT n, 'eco' AS metric, round(b, 6) AS std FROM r WHERE n >= 10")
 register("topn_corr_pearson", lambda s, d: rounded(an.top_n_pearson(summary(s, d), "fit", "eco", KEY)), CURVE_SQL + " SELECT fitness_name, n, round(c, 6) AS pearson FROM r WHERE n >= 20")
 RANK_SQL = "rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2"
 register(
@@ -513,7 +516,7 @@ register(
     f"WITH u AS ({SUMMARY_SQL}) SELECT algorithm, {r6('fit')}, NULL::VARCHAR AS origin FROM u WHERE algorithm <> 'alg_0' UNION ALL SELECT 'alg_0', {r6('fit')}, 'rerun' FROM u WHERE algorithm = 'alg_1'",
 )
 register("best_so_far", lambda s, d: rounded(an.best_so_far(clean_runs(s, d).groupBy("algorithm", "seed", F.col("alpha").alias("iteration")).agg(F.min("best_fitness").alias("fitness")), by=["algorithm", "seed"])), f"WITH h AS (SELECT algorithm, seed, alpha AS iteration, min(best_fitness) AS fitness FROM ({CLEAN_SQL}) GROUP BY ALL) SELECT algorithm, seed, {r6('iteration', 'fitness', 'min(fitness) OVER (PARTITION BY algorithm, seed ORDER BY iteration) AS best_so_far')} FROM h")
-register("iteration_stats", lambda s, d: rounded(an.iteration_stats(fx.runs(s, d).select(F.col("alpha").alias("iteration"), F.col("best_fitness").alias("fitness")))), f"SELECT alpha AS iteration, {r6('min(best_fitness) AS iteration_best', 'avg(best_fitness) AS mean', 'stddev_pop(best_fitness) AS std')} FROM fx_runs GROUP BY alpha")
+register("iteration_stats", lambda s, d: rounded(an.iteration_stats(fx.runs(s, d).select(F.col("alpha").alias("iteration"), F.col("best_fitness").alias("fitness"), "eco"), pheromone="eco")), f"SELECT alpha AS iteration, {r6('min(best_fitness) AS iteration_best', 'avg(best_fitness) AS mean', 'stddev_pop(best_fitness) AS std', 'min(eco) AS pheromone_min', 'max(eco) AS pheromone_max')} FROM fx_runs GROUP BY alpha")
 register("quality_gate", lambda s, d: an.quality_gate(fx.runs(s, d), None, ["best_fitness", "eco"], 100), "SELECT count(*) AS n_rows, 0::BIGINT AS n_bad, 0::BIGINT AS n_failures, count(*) >= 100 AS passed FROM fx_runs")
 
 register(

@@ -110,10 +110,19 @@ def config_json(columns: Sequence[str]):
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
 
 
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder within its file system; an error if that fails or target exists."""
+    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(new) or not files.rename(old, new):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 def migrate_runs(spark: SparkSession, path: str, rerun: DataFrame, legacy: str, archive: str) -> DataFrame:
     """Copy the run table to archive, replace the legacy algorithm's rows by the rerun, return a manifest.
 
-    The new table is written aside from the archived copy, so a failure leaves the archive and the old rows.
+    The new table is written beside the old one and takes its name by two renames, so a failure of the job leaves
+    the old rows where they are; the old folder goes last.
     """
     from terrapart.operators.analysis import union_migrate
 
@@ -123,7 +132,12 @@ def migrate_runs(spark: SparkSession, path: str, rerun: DataFrame, legacy: str,
         raise ValueError(f"missing columns: {missing}")
     old.write.mode("errorifexists").partitionBy(*PARTITIONS).parquet(archive)
     kept = spark.read.parquet(archive)
-    union_migrate(kept, rerun, legacy).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    aside, former = f"{path.rstrip('/')}-new", f"{path.rstrip('/')}-old"
+    union_migrate(kept, rerun, legacy).write.mode("errorifexists").partitionBy(*PARTITIONS).parquet(aside)
+    moved(spark, path, former)
+    moved(spark, aside, path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(former)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     counts = kept.agg(F.count("*").alias("archived"), F.count_if(F.col("algorithm") == legacy).alias("dropped"))
     return counts.join(rerun.agg(F.count("*").alias("added"))).withColumn("path", F.lit(path)).withColumn("archive", F.lit(archive))
 

@@ -1,5 +1,8 @@
 import importlib
+import shutil
+import subprocess
 import sys
+from pathlib import Path
 
 import __spark_entry__ as entry
 
@@ -23,3 +26,13 @@ def test_without_the_text_subpackage(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
+
+
+def test_with_the_text_folders_deleted(tmp_path):
+    """A copy of the library without the text subpackage and the pipeline imports and has all other queries."""
+    root, copy = Path(entry.__file__).parent, tmp_path / "copy"
+    shutil.copytree(root / "terrapart", copy / "terrapart", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", copy)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(*q)"
+    found = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.split()
+    assert set(found) == {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}

@@ -1,6 +1,7 @@
 """Golden mini-cases and properties of the relational operators."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -122,7 +123,7 @@ def test_scaling_and_grid(spark):
     assert [(r.a, r.b) for r in ra.minmax_scale(rows, ["a", "b"]).orderBy("a").collect()] == [(0.0, 0.0), (0.2, 0.0), (1.0, 0.0)]
     assert [list(r["values"]) for r in ra.raster_grid(rows, "a").orderBy("row").collect()] == [[1.0, None, 2.0], [None, 6.0, None]]
     assert ra.climate_columns(["Temp_1", "padavine_jan", "row"]) == (["Temp_1"], ["padavine_jan"])
-    assert ra.feature_columns(rows) == ["a", "b"]
+    assert ra.feature_columns(rows.withColumn("cluster", F.lit(1))) == ["a", "b", "cluster"]
     with pytest.raises(ValueError):
         ra.climate_columns(["x"])
     cells = spark.createDataFrame([(0, 0, "t", 1.0), (0, 0, "p", float("nan"))], "row int, col int, layer string, value double")
@@ -217,6 +218,7 @@ def test_sources(spark, tmp_path):
     manifest = st.migrate_runs(spark, str(tmp_path / "runs"), rerun, "old", str(tmp_path / "archive")).first()
     assert (manifest.archived, manifest.dropped, manifest.added) == (2, 1, 1)
     assert {r.algorithm for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {"aco", "new"}
+    assert not (tmp_path / "runs-new").exists() and not (tmp_path / "runs-old").exists()
     st.save_labels(spark.createDataFrame([("Köppen-A", 1, 2)], "name string, node_id long, label long"), str(tmp_path / "labels"))
     assert st.load_labels(spark, str(tmp_path / "labels"), "Köppen-A").first().solution == "koppen_a"
     assert runs.select(st.config_json(["fitness_name", "algorithm"])).first()[0] == '{"algorithm":"aco","fitness_name":"centroid"}'
@@ -232,6 +234,33 @@ def test_monitor(spark, tmp_path):
     assert (got["a"].n, got["a"].mean, got["b"].n_bad) == (2, 2.0, 1)
 
 
+def test_supervisor(spark):
+    tables = {"one": [1.0, 2.0], "two": [1.0, float("nan")]}
+    gate = lambda name: an.quality_gate(spark.createDataFrame([(v,) for v in tables[name]], "best_fitness double"), None, ["best_fitness"])
+    ran = []
+    assert monitor.supervise(spark, [("one", lambda: (ran.append(1), time.sleep(0.5)))], gate, 0.1, 2) == [("one", 2), ("one", 2)]
+    with pytest.raises(RuntimeError, match="bad values"):
+        monitor.supervise(spark, [("two", lambda: ran.append(2)), ("one", lambda: ran.append(3))], gate, 5.0)
+    with pytest.raises(RuntimeError, match="failed"):
+        monitor.supervise(spark, [("one", lambda: 1 / 0), ("one", lambda: ran.append(3))], gate, 5.0)
+    assert ran == [1, 2]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64])
+@pytest.mark.parametrize("ascending", [True, False])
+def test_curves_do_not_depend_on_ranges(spark, parts, ascending):
+    rng = np.random.default_rng(3)
+    data = [(["a", "b", None][i % 3], i, None if i % 11 == 0 else float(rng.integers(0, 9)), float(rng.normal(5)) if i % 7 else None) for i in range(120)]
+    rows = spark.createDataFrame(data, "fitness_name string, id long, fit double, eco double")
+    for group in ("fitness_name", None):
+        got = {(r.fitness_name if group else 0, r.n): r.std for r in an.top_n_std(rows, "fit", ["eco"], ["id"], group, 10, ascending, parts).collect()}
+        want = {}
+        for g in {d[0] for d in data} if group else {0}:
+            mine = sorted((d for d in data if not group or d[0] == g), key=lambda d: ((d[2] is not None) == ascending, (d[2] or 0.0) * (1 if ascending else -1), d[1]))
+            want |= {(g, n): np.std([d[3] for d in mine[:n] if d[3] is not None], ddof=1) for n in range(10, len(mine) + 1)}
+        assert got == pytest.approx(want)
+
+
 def test_native_tests_equal_the_numpy_ones(spark):
     from terrapart.functions.stats import paired_pvalues
 
