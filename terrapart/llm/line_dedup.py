@@ -62,9 +62,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def bands_of(lines: list[str], size: int = SHINGLE) -> np.ndarray:
-    """Band hashes (a row for each line) of normalised, non-empty lines."""
+    """Band hashes (a row for each line) of normalised, non-empty lines; a line's do not depend on the others."""
     rng = np.random.default_rng(11)
     factors = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    weights = rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # drawn before the loop, whose length depends on the lines
     padded = [x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     counts = np.array([len(x) - size + 1 for x in padded], np.int64)
@@ -90,7 +91,6 @@ def bands_of(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     left = np.nonzero(empty)
     filled[left] = sig.min(axis=1)[left[0]]
     rows = filled.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    weights = rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     return mixed((rows * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 

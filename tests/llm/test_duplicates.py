@@ -209,6 +209,16 @@ def test_families_of_near_lines(spark):
     assert len(lines) - len(kept) >= 0.97 * merges > 500
 
 
+def test_bands_of_a_line_do_not_depend_on_other_lines():
+    rng = random.Random(2)
+    long = [" ".join(f"{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    lines = [*long, "a", "short line", *long[:3]]
+    whole = ld.bands_of(lines)
+    assert (whole[:20] == ld.bands_of(long)).all()
+    for line, bands in zip(lines, whole, strict=True):
+        assert (ld.bands_of([line])[0] == bands).all()
+
+
 def test_words_end_at_fixed_characters():
     assert ld.normalised("A\u00a0b\t c\u3000\x1cd ") == "a\u00a0b c\u3000\x1cd"
 
