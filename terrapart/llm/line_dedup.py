@@ -42,11 +42,14 @@ BINS = BANDS * ROWS
 HUB_SHARE = 200
 BLOCK_CHARS = 1 << 18
 EMPTY = np.uint32(0xFFFFFFFF)
-BREAKS = str.maketrans(dict.fromkeys(WORD_BREAKS, " "))
 
 
 def normalised(line: str) -> str:
-    return " ".join([w for w in line.lower().translate(BREAKS).split(" ") if w])
+    line = line.lower()
+    for c in WORD_BREAKS:
+        if c in line:
+            line = line.replace(c, " ")
+    return " ".join([w for w in line.split(" ") if w]) if "  " in line else line.strip(" ")
 
 
 def shingle_set(line: str, size: int = SHINGLE) -> set[str]:
@@ -107,7 +110,7 @@ def signed(docs: DataFrame) -> DataFrame:
         met: set[int] = set()
         for batch in batches:
             keys, marks, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, 250_000):
                 out, new, owners = [], [], []
                 if len(met) > 500_000:
                     met.clear()

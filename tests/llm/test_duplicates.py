@@ -209,6 +209,14 @@ def test_families_of_near_lines(spark):
     assert len(lines) - len(kept) >= 0.97 * merges > 500
 
 
+def test_normalised_lines():
+    rng = random.Random(4)
+    for _ in range(2000):
+        line = "".join(rng.choice("aÉß x  \t\r\x0b\x0c\u00a0\u3000\x1c") for _ in range(rng.randrange(12)))
+        plain = line.lower().translate(dict.fromkeys(map(ord, "\t\x0b\x0c\r"), " "))
+        assert ld.normalised(line) == " ".join(w for w in plain.split(" ") if w)
+
+
 def test_bands_of_a_line_do_not_depend_on_other_lines():
     rng = random.Random(2)
     long = [" ".join(f"{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
