@@ -1,6 +1,7 @@
 """Ant-colony clustering of weighted nodes.
 
-Construction draws each node's label after the draws before it, so one fit runs inside one task
+Construction draws each node's label after the draws before it, so one fit runs inside one task, in which the ants
+that share a state of the pheromone table go step by step together
 (``run_configs``: one group of a DataFrame for each configuration and seed; nodes and neighbours are small
 model data, at most ``MAX_MODEL_BYTES``, and go along as a broadcast whose size is checked first). For one large fit,
 ``fit_ants_parallel`` builds all ants of an iteration in parallel with a random stream of their own and
@@ -28,15 +29,16 @@ EPS = 1e-12
 
 
 def as_probabilities(raw: np.ndarray) -> np.ndarray:
-    """Finite, non-negative, summing to 1 with the rounding error in the last entry; uniform if all is lost."""
+    """Rows finite, non-negative, summing to 1 with the rounding error in the last entry; uniform where all is lost."""
     p = np.asarray(raw, float)
-    mass = p.sum()
-    if not np.isfinite(mass) or p.min() < 0.0:
+    mass = p.sum(axis=-1, keepdims=True)
+    if not np.isfinite(mass).all() or (p < 0.0).any():
         p = np.nan_to_num(p, nan=0.0, posinf=0.0, neginf=0.0).clip(0.0)
-        mass = p.sum()
-    p = p / mass if mass > 1e-15 else np.full(len(p), 1.0 / len(p))
-    p[-1] = max(0.0, 1.0 - p[:-1].sum())
-    return p / p.sum()
+        mass = p.sum(axis=-1, keepdims=True)
+    lost = mass <= 1e-15
+    p = np.where(lost, 1.0 / p.shape[-1], p / np.where(lost, 1.0, mass)) if lost.any() else p / mass
+    p[..., -1] = np.maximum(0.0, 1.0 - p[..., :-1].sum(axis=-1))
+    return p / p.sum(axis=-1, keepdims=True)
 
 
 @dataclass
@@ -48,12 +50,24 @@ class Model:
     near: np.ndarray
     snn: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     far: dict = field(default_factory=dict, repr=False, compare=False)
+    near_far: np.ndarray | None = field(default=None, repr=False, compare=False)
+
+    def neighbour_distances(self) -> np.ndarray:
+        """Distances to the neighbours, of the shape of ``near``; computed in blocks and kept."""
+        if self.near_far is None:
+            blocks = [slice(i, i + 1024) for i in range(0, len(self.x), 1024)]
+            self.near_far = np.concatenate([np.linalg.norm(self.x[self.near[b]] - self.x[b, None, :], axis=2) for b in blocks])
+        return self.near_far
+
+    def places(self) -> np.ndarray:
+        return np.arange(len(self.x))
 
     def distances(self, chosen: np.ndarray) -> np.ndarray:
         """Distances between the chosen nodes, kept for the next labeling."""
         key = chosen.tobytes()
         if key not in self.far:
-            self.far = {key: np.concatenate([self.distances_from(chosen, i) for i in range(0, len(chosen), 64)])}
+            self.far = dict(list(self.far.items())[-1:])  # all nodes and a sample at most
+            self.far[key] = np.concatenate([self.distances_from(chosen, i) for i in range(0, len(chosen), 64)])
         return self.far[key]
 
     def distances_from(self, chosen: np.ndarray, i: int) -> np.ndarray:
@@ -61,21 +75,70 @@ class Model:
         return np.sqrt(((x[i : i + 64, None, :] - x[None, :, :]) ** 2).sum(axis=2))
 
 
+class Members:
+    """Nodes of each label of each ant, in an order that is uniformly random at every moment."""
+
+    def __init__(self, labels: np.ndarray, k: int, rng: np.random.Generator) -> None:
+        ants, n = labels.shape
+        self.rng, self.rows = rng, np.arange(ants)
+        self.count = np.zeros((ants, k), int)
+        self.nodes, self.place = np.zeros((ants, k, n), np.int32), np.zeros((ants, n), np.int32)
+        for ant in range(ants):
+            for label in range(k):
+                mine = rng.permutation(np.flatnonzero(labels[ant] == label))
+                self.count[ant, label] = len(mine)
+                self.nodes[ant, label, : len(mine)] = mine
+                self.place[ant, mine] = np.arange(len(mine))
+
+    def move(self, i: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
+        """Node i of each ant goes from its old label (-1: none) to the new one."""
+        had = np.flatnonzero(old >= 0)
+        if len(had):
+            self.count[had, old[had]] -= 1
+            last = self.nodes[had, old[had], self.count[had, old[had]]]
+            at = self.place[had, i[had]]
+            self.nodes[had, old[had], at], self.place[had, last] = last, at
+        # An entry of random place goes to the end, the node takes that place: the order stays uniformly random.
+        end = self.count[self.rows, new]
+        at = (self.rng.random(len(self.rows)) * (end + 1)).astype(int)
+        other = self.nodes[self.rows, new, at]
+        self.nodes[self.rows, new, end] = other
+        self.place[self.rows, other] = np.where(at < end, end, self.place[self.rows, other])
+        self.nodes[self.rows, new, at], self.place[self.rows, i] = i, at
+        self.count[self.rows, new] += 1
+
+    def some(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ants, labels, most) nodes and which of them count: all of a small cluster, otherwise a uniform choice without repeats.
+
+        The choice is a stretch of the random order from a random start.
+        """
+        size = self.count[:, :, None]
+        start = (self.rng.random(self.count.shape) * self.count).astype(int)[:, :, None]
+        steps = np.arange(most)
+        at = (np.where(size > most, start, 0) + steps) % np.maximum(size, 1)
+        return np.take_along_axis(self.nodes, at, axis=2), steps < size
+
+
 @dataclass
 class Partial:
-    """A labeling under construction, as heuristics see it."""
+    """Labelings under construction, as heuristics see them: one ant, or several with a leading axis."""
 
     model: Model
     k: int
     labels: np.ndarray
     centres: np.ndarray
     rng: np.random.Generator
+    members: Members | None = None
+
+    def told(self, i: np.ndarray) -> np.ndarray:
+        """(..., neighbours, k): which neighbour of a node has which label."""
+        return np.take_along_axis(self.labels, self.model.near[i], axis=-1)[..., None] == np.arange(self.k)
 
-    def around(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Labelled neighbours of a node and their labels."""
-        near = self.model.near[i]
-        told = self.labels[near]
-        return near[told >= 0], told[told >= 0]
+    def put(self, i: np.ndarray, label: np.ndarray) -> None:
+        rows = np.arange(len(i))
+        if self.members is not None:
+            self.members.move(i, self.labels[rows, i], label)
+        self.labels[rows, i] = label
 
 
 def support(told: np.ndarray, k: int) -> np.ndarray:
@@ -83,51 +146,49 @@ def support(told: np.ndarray, k: int) -> np.ndarray:
     return np.bincount(told, minlength=k) / len(told) if len(told) else np.zeros(k)
 
 
-def mean_closeness(at: np.ndarray, others: np.ndarray) -> float:
-    return 1.0 / (np.linalg.norm(others - at, axis=1).mean() + 1e-6)
+def by_centre(p: Partial, i: np.ndarray, beta: float) -> np.ndarray:
+    closeness = 1.0 / (((p.centres - p.model.x[i][..., None, :]) ** 2).sum(axis=-1) + 1e-6)
+    closeness = np.where(p.centres.any(axis=-1), closeness, 0.85)  # a centre that is still all zero
+    return as_probabilities((closeness + EPS) ** beta)
 
 
-def by_centre(p: Partial, i: int, beta: float) -> np.ndarray:
-    closeness = 1.0 / (((p.centres - p.model.x[i]) ** 2).sum(axis=1) + 1e-6)
-    closeness[~p.centres.any(axis=1)] = 0.85  # a centre that is still all zero
-    return as_probabilities((closeness + EPS) ** beta)
+def neighbour_closeness(p: Partial, i: np.ndarray, empty: float = 0.0) -> np.ndarray:
+    """Inverse mean distance to the labelled neighbours of each cluster, ``empty`` where there are none."""
+    told = p.told(i)
+    count = told.sum(axis=-2)
+    far = (told * p.model.neighbour_distances()[i][..., None]).sum(axis=-2)
+    return np.where(count > 0, 1.0 / (far / np.maximum(count, 1) + 1e-6), empty)
 
 
-def by_neighbours(p: Partial, i: int, beta: float) -> np.ndarray:
-    at = p.model.x[i]
-    nodes, told = p.around(i)
-    local = np.full(p.k, 1.0 / p.k)
-    for label in np.unique(told):
-        local[label] = mean_closeness(at, p.model.x[nodes[told == label]])
-    if len(told):
-        local = as_probabilities(local)
-    whole = as_probabilities(1.0 / (np.linalg.norm(p.centres - at, axis=1) + 1e-6))
-    trust = np.sqrt(len(told) / max(1, len(p.model.near[i])))
+def by_neighbours(p: Partial, i: np.ndarray, beta: float) -> np.ndarray:
+    local = as_probabilities(neighbour_closeness(p, i, 1.0 / p.k))
+    whole = as_probabilities(1.0 / (np.linalg.norm(p.centres - p.model.x[i][..., None, :], axis=-1) + 1e-6))
+    trust = np.sqrt(p.told(i).sum(axis=(-2, -1)) / max(1, p.model.near.shape[1]))[..., None]
     return as_probabilities((trust * local + (1.0 - trust) * whole + EPS) ** beta)
 
 
-def by_space(p: Partial, i: int, beta: float) -> np.ndarray:
+def by_space(p: Partial, i: np.ndarray, beta: float) -> np.ndarray:
     """Not normalised after the power; the draw normalises."""
-    _, told = p.around(i)
-    return (as_probabilities(1.0 + support(told, p.k) if len(told) else np.full(p.k, 0.75)) + EPS) ** beta
-
-
-def by_cohesion(p: Partial, i: int, beta: float, most: int = 40, least: int = 15) -> np.ndarray:
-    scores = np.full(p.k, 1.0 / p.k)
-    for label in range(p.k):
-        members = np.flatnonzero(p.labels == label)
-        if len(members) > least:
-            some = p.rng.choice(members, size=most, replace=False) if len(members) > most else members
-            scores[label] = mean_closeness(p.model.x[i], p.model.x[some])
+    count = p.told(i).sum(axis=-2)
+    return (as_probabilities(1.0 + count / np.maximum(count.sum(axis=-1, keepdims=True), 1)) + EPS) ** beta
+
+
+def by_cohesion(p: Partial, i: np.ndarray, beta: float, most: int = 40, least: int = 15) -> np.ndarray:
+    n = len(p.model.x)
+    if p.members is None:
+        p.members = Members(p.labels.reshape(-1, n), p.k, p.rng)
+    at = np.atleast_1d(i)
+    nodes, counts = p.members.some(most)
+    if n <= KEPT_DISTANCES:
+        far = p.model.distances(p.model.places())[at[:, None, None], nodes]
+    else:
+        far = np.linalg.norm(p.model.x[nodes] - p.model.x[at][:, None, None, :], axis=-1)
+    size = p.members.count
+    mean = (far * counts).sum(axis=-1) / np.clip(size, 1, most)
+    scores = np.where(size > least, 1.0 / (mean + 1e-6), 1.0 / p.k).reshape(*p.labels.shape[:-1], p.k)
     return as_probabilities((as_probabilities(scores) + EPS) ** beta)
 
 
-def neighbour_closeness(p: Partial, i: int, empty: float = 0.0) -> np.ndarray:
-    """Inverse mean distance to the labelled neighbours of each cluster, ``empty`` where there are none."""
-    nodes, told = p.around(i)
-    return np.array([mean_closeness(p.model.x[i], p.model.x[nodes[told == label]]) if (told == label).any() else empty for label in range(p.k)])
-
-
 HEURISTICS: dict[str, Callable] = {"centroid": by_centre, "graph": by_neighbours, "spatial": by_space, "cohesion": by_cohesion}
 
 
@@ -163,64 +224,83 @@ def first_centres(x: np.ndarray, k: int, rng: np.random.Generator, mode: str = "
     return spread_centres(x, k, rng)
 
 
-def draw(p: Partial, tau: np.ndarray, i: int, alpha: float, heuristic: Callable, beta: float) -> int:
-    pull = (as_probabilities(tau[i]) + EPS) ** alpha
-    return picked(p.rng, as_probabilities(pull * heuristic(p, i, beta)))
+def picked(rng: np.random.Generator, odds: np.ndarray) -> np.ndarray:
+    """One draw of an index for each row of odds."""
+    ends = odds.cumsum(axis=-1)
+    return np.minimum((ends <= rng.random(len(odds))[:, None] * ends[:, -1:]).sum(axis=1), odds.shape[1] - 1)
+
+
+def pulls(tau: np.ndarray, alpha: float) -> np.ndarray:
+    """The pheromone's part of the odds, for all nodes; it stands still while a batch of ants is built."""
+    return (as_probabilities(tau) + EPS) ** alpha
+
+
+def orders(rng: np.random.Generator, ants: int, n: int) -> np.ndarray:
+    """A random order of the nodes for each ant; row t holds what the ants visit in step t."""
+    return np.ascontiguousarray(rng.permuted(np.tile(np.arange(n), (ants, 1)), axis=1).T)
+
+
+def begun(model: Model, k: int, rng: np.random.Generator, ants: int, start: str) -> Partial:
+    return Partial(model, k, np.full((ants, len(model.x)), -1), np.stack([first_centres(model.x, k, rng, start) for _ in range(ants)]), rng)
 
 
-def picked(rng: np.random.Generator, odds: np.ndarray) -> int:
-    """One draw of an index by odds."""
-    ends = odds.cumsum()
-    return min(int(ends.searchsorted(rng.random() * ends[-1], side="right")), len(odds) - 1)
+def all_centres(p: Partial) -> np.ndarray:
+    return np.stack([centres_of(p.model, labels, p.k, p.rng) for labels in p.labels])
 
 
-def build_once(model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ant: int, n_ants: int, *, heuristic: str, alpha: float, beta: float, start: str = "zeros", moving: bool = True) -> tuple:
-    """One pass in random order; with moving, centres follow the labels drawn so far."""
-    p = Partial(model, k, np.full(len(model.x), -1), first_centres(model.x, k, rng, start), rng)
-    sums, mass = np.zeros_like(p.centres), np.zeros(k)
-    for i in rng.permutation(len(model.x)):
-        label = p.labels[i] = draw(p, tau, i, alpha, HEURISTICS[heuristic], beta)
+def build_once(model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ants: np.ndarray, n_ants: int, *, heuristic: str, alpha: float, beta: float, start: str = "zeros", moving: bool = True) -> tuple:
+    """One pass in random order; with moving, an ant's centres follow the labels it has drawn so far."""
+    p, pull, rows = begun(model, k, rng, len(ants), start), pulls(tau, alpha), np.arange(len(ants))
+    sums, mass = np.zeros_like(p.centres), np.zeros((len(ants), k))
+    for i in orders(rng, len(ants), len(model.x)):
+        label = picked(rng, as_probabilities(pull[i] * HEURISTICS[heuristic](p, i, beta)))
+        p.put(i, label)
         if moving:
-            sums[label] += model.weight[i] * model.x[i]
-            mass[label] += model.weight[i]
-            p.centres[label] = sums[label] / mass[label]
-    return p.labels, centres_of(model, p.labels, k, rng)
+            sums[rows, label] += model.weight[i, None] * model.x[i]
+            mass[rows, label] += model.weight[i]
+            p.centres[rows, label] = sums[rows, label] / mass[rows, label, None]
+    return p.labels, all_centres(p)
 
 
-def build_refined(model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ant: int, n_ants: int, *, heuristic: str, alpha: float, beta: float, start: str = "zeros", steps: int = 3) -> tuple:
+def build_refined(model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ants: np.ndarray, n_ants: int, *, heuristic: str, alpha: float, beta: float, start: str = "zeros", steps: int = 3) -> tuple:
     """Several passes; centres stand still within a pass, labels change in place."""
-    p = Partial(model, k, np.full(len(model.x), -1), first_centres(model.x, k, rng, start), rng)
+    p, pull = begun(model, k, rng, len(ants), start), pulls(tau, alpha)
     for _ in range(steps):
-        for i in rng.permutation(len(model.x)):
-            p.labels[i] = draw(p, tau, i, alpha, HEURISTICS[heuristic], beta)
-        p.centres = centres_of(model, p.labels, k, rng)
+        for i in orders(rng, len(ants), len(model.x)):
+            p.put(i, picked(rng, as_probabilities(pull[i] * HEURISTICS[heuristic](p, i, beta))))
+        p.centres = all_centres(p)
     return p.labels, p.centres
 
 
-def build_static_graph(model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ant: int, n_ants: int, *, alpha: float, beta: float) -> tuple:
+def build_static_graph(model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ants: np.ndarray, n_ants: int, *, alpha: float, beta: float) -> tuple:
     """One pass of the graph heuristic around seeded centres that stand still."""
-    return build_once(model, tau, k, rng, ant, n_ants, heuristic="graph", alpha=alpha, beta=beta, start="kmeanspp", moving=False)
+    return build_once(model, tau, k, rng, ants, n_ants, heuristic="graph", alpha=alpha, beta=beta, start="kmeanspp", moving=False)
 
 
 def build_colonies(
-    model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ant: int, n_ants: int, *, colonies: list[tuple[str, float]], alpha: float,
+    model: Model, tau: np.ndarray, k: int, rng: np.random.Generator, ants: np.ndarray, n_ants: int, *, colonies: list[tuple[str, float]], alpha: float,
     mutation: float = 0.01, every: int = 3, most_mutations: float = 0.02,
 ) -> tuple:
-    """One pass with the heuristic of the ant's colony; every third ant may mutate a few draws."""
+    """One pass of each ant with the heuristic of its colony; every third ant may mutate a few draws."""
     if n_ants < 1:
         raise ValueError("n_ants must be positive")
-    name, beta = colonies[min(ant // -(-n_ants // len(colonies)), len(colonies) - 1)]
-    p = Partial(model, k, np.full(len(model.x), -1), spread_centres(model.x, k, rng), rng)
-    mutated = 0
-    for i in rng.permutation(len(model.x)):
-        pull = (as_probabilities(tau[i]) + EPS) ** alpha
-        odds = as_probabilities(pull * as_probabilities(HEURISTICS[name](p, i, beta)))
-        if rng.random() < mutation and ant % every == 0 and mutated < most_mutations * len(model.x):
-            p.labels[i] = rng.integers(k)
-            mutated += 1
-        else:
-            p.labels[i] = picked(rng, odds)
-    return p.labels, centres_of(model, p.labels, k, rng)
+    home = np.minimum(ants // -(-n_ants // len(colonies)), len(colonies) - 1)
+    labels, centres = np.empty((len(ants), len(model.x)), int), np.empty((len(ants), k, model.x.shape[1]))
+    pull = pulls(tau, alpha)
+    for at, (name, beta) in enumerate(colonies):
+        mine = np.flatnonzero(home == at)
+        if not len(mine):
+            continue
+        p, mutated = begun(model, k, rng, len(mine), "kmeanspp"), np.zeros(len(mine), int)
+        for i in orders(rng, len(mine), len(model.x)):
+            label = picked(rng, as_probabilities(pull[i] * as_probabilities(HEURISTICS[name](p, i, beta))))
+            odd = (rng.random(len(mine)) < mutation) & (ants[mine] % every == 0) & (mutated < most_mutations * len(model.x))
+            if odd.any():
+                label = np.where(odd, rng.integers(k, size=len(mine)), label)
+                mutated += odd
+            p.put(i, label)
+        labels[mine], centres[mine] = p.labels, all_centres(p)
+    return labels, centres
 
 
 #: Algorithms by name: builder and its settings; alpha and beta come from the configuration.
@@ -370,19 +450,20 @@ class Colony:
         best: Fit | None = None
         history = []
         for iteration in range(self.n_iterations):
-            waiting, fits, tops = [], [], []
-            for ant in range(self.n_ants):
-                labels, centres = build(model, tau, self.clusters, rng, ant, self.n_ants)
-                if self.after is not None:
-                    labels, centres = self.after(labels, centres, model)
-                fitness, terms = score(model, labels, centres, self.objective, self.chosen)
-                fits.append(fitness)
-                tops.append(terms)
-                waiting.append((fitness, labels))
-                if len(waiting) == (self.batch or self.n_ants) or ant == self.n_ants - 1:
-                    tau, waiting = updated(tau, waiting, self.update, self.evaporation, self.q), []
-                if best is None or fitness < best.fitness:
-                    best = Fit(labels.copy(), centres.copy(), fitness, terms, tau)
+            fits, tops = [], []
+            size = self.batch or self.n_ants
+            for first in range(0, self.n_ants, size):
+                waiting = []
+                for labels, centres in zip(*build(model, tau, self.clusters, rng, np.arange(first, min(first + size, self.n_ants)), self.n_ants), strict=True):
+                    if self.after is not None:
+                        labels, centres = self.after(labels, centres, model)
+                    fitness, terms = score(model, labels, centres, self.objective, self.chosen)
+                    fits.append(fitness)
+                    tops.append(terms)
+                    waiting.append((fitness, labels))
+                    if best is None or fitness < best.fitness:
+                        best = Fit(labels.copy(), centres.copy(), fitness, terms, tau)
+                tau = updated(tau, waiting, self.update, self.evaporation, self.q)
             at = np.array(fits)
             history.append({"iteration": iteration + 1, "iteration_best": float(at.min()), "global_best": best.fitness, "mean": float(at.mean()), "std": float(at.std()), "pheromone_min": float(tau.min()), "pheromone_max": float(tau.max())} | tops[int(at.argmin())])
         best.tau, best.history = tau, history
@@ -459,7 +540,7 @@ def fit_ants_parallel(spark: SparkSession, model: Model, colony: Colony) -> Fit:
                 rows = []
                 for ant in part.ant:
                     rng = np.random.default_rng([colony.seed, iteration, int(ant)])
-                    labels, centres = build(held.value, now.value, colony.clusters, rng, int(ant), colony.n_ants)
+                    (labels,), (centres,) = build(held.value, now.value, colony.clusters, rng, np.array([ant]), colony.n_ants)
                     fitness, _ = score(held.value, labels, centres, colony.objective, colony.chosen)
                     rows.append({"ant": int(ant), "fitness": fitness, "labels": labels.tolist()})
                 yield pd.DataFrame(rows, columns=["ant", "fitness", "labels"])

@@ -564,18 +564,13 @@ def palette(s: SparkSession, d: str) -> DataFrame:
 
 
 def colony_run(s: SparkSession, d: str, algorithm: str) -> DataFrame:
-    """A fit of each objective on all nodes with all features, six ants and five iterations: outcome rows without timings.
-
-    Silhouettes take a seeded sample of 500 nodes, as sweeps do.
-    """
+    """A fit of each objective on all nodes with all features and the operator's default settings: outcome rows without timings."""
     from terrapart.operators import colony as co
 
-    model, ids = co.collect_model(fx.nodes(s, d), space_edges(s, d), snn(s, d))
+    model, _ = co.collect_model(fx.nodes(s, d), space_edges(s, d), snn(s, d))
     rows = [(i + 1, 0, algorithm, u, o, 1.0, 1.0, 0.1, 0.05) for i, (o, u) in enumerate(zip(co.OBJECTIVES, ("all_ants", "best_ant", "quality_weighted"), strict=True))]
     configs = s.createDataFrame(rows, "run_id long, seed long, algorithm string, pheromone_update string, fitness_name string, alpha double, beta double, evaporation double, q double")
-    chosen = gr.seeded_sample(fx.nodes(s, d), 500)
-    places = None if chosen is None else np.searchsorted(ids, chosen)
-    found = co.run_configs(configs.repartition(len(rows), "run_id"), model, 6, 5, chosen=places)
+    found = co.run_configs(configs.repartition(len(rows), "run_id"), model)
     return found.select("run_id", "seed", "algorithm", "pheromone_update", "fitness_name", "status", F.round("best_fitness", 6).alias("best_fitness"), F.round("recomputed_fitness", 6).alias("recomputed_fitness"), F.size("labels").cast("long").alias("n_labels"))
 
 

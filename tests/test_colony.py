@@ -92,3 +92,46 @@ def test_registered_fit_takes_all_nodes(spark, tmp_path, monkeypatch):
     got = catalog.queries()["aco_centroid"](spark, str(tmp_path)).collect()
     assert met == [((520, 64), (520, 16), {})]
     assert {(r.status, r.n_labels) for r in got} == {("ok", 520)}
+
+
+def test_ants_of_a_batch_are_told_apart():
+    m, rng = model(), np.random.default_rng(3)
+    labels, centres = rng.integers(-1, 3, size=(4, 60)), rng.normal(size=(4, 3, 2))
+    i = rng.integers(60, size=4)
+    for heuristic in (co.by_centre, co.by_neighbours, co.by_space):
+        batch = heuristic(co.Partial(m, 3, labels, centres, rng), i, 2.0)
+        for ant in range(4):
+            assert batch[ant] == pytest.approx(heuristic(co.Partial(m, 3, labels[ant], centres[ant], rng), i[ant], 2.0))
+    # Up to 40 members a label, cohesion takes all of them.
+    odds = co.by_cohesion(co.Partial(m, 3, labels, centres, rng), i, 1.0)
+    for ant in range(4):
+        far = [np.linalg.norm(m.x[labels[ant] == k] - m.x[i[ant]], axis=1) for k in range(3)]
+        raw = np.array([1.0 / (f.mean() + 1e-6) if len(f) > 15 else 1.0 / 3 for f in far])
+        assert odds[ant] == pytest.approx(raw / raw.sum(), abs=1e-9)
+
+
+def test_members_follow_moves_and_choices_are_uniform():
+    rng = np.random.default_rng(5)
+    labels = np.full((2, 30), -1)
+    p = co.Partial(model(30), 2, labels, np.zeros((2, 2, 2)), rng, co.Members(labels, 2, rng))
+    seen = np.zeros(30)
+    for step in range(6000):
+        i = rng.integers(30, size=2)
+        p.put(i, rng.integers(2, size=2))
+        nodes, counts = p.members.some(5)
+        for ant in range(2):
+            for label in range(2):
+                mine = set(np.flatnonzero(labels[ant] == label))
+                some = nodes[ant, label][counts[ant, label]]
+                assert set(p.members.nodes[ant, label, : p.members.count[ant, label]]) == mine
+                assert len(set(some)) == len(some) == min(5, len(mine)) and set(some) <= mine
+                if step >= 1000 and len(mine) > 5:
+                    seen[some] += 1
+    assert seen.min() > 0.9 * seen.mean() and seen.max() < 1.1 * seen.mean()
+
+
+@pytest.mark.parametrize("batch", [1, 2, None])
+def test_every_ant_is_built_whatever_the_batch(batch):
+    met = []
+    found = co.Colony("aco_centroid", clusters=3, n_ants=5, n_iterations=2, evaporation=0.1, batch=batch, after=lambda labels, centres, m: met.append(1) or (labels, centres)).fit(model())
+    assert len(met) == 10 and len(found.history) == 2
