@@ -135,3 +135,13 @@ def test_every_ant_is_built_whatever_the_batch(batch):
     met = []
     found = co.Colony("aco_centroid", clusters=3, n_ants=5, n_iterations=2, evaporation=0.1, batch=batch, after=lambda labels, centres, m: met.append(1) or (labels, centres)).fit(model())
     assert len(met) == 10 and len(found.history) == 2
+
+
+def test_cohesion_without_kept_distances(monkeypatch):
+    m, labels, i = model(), np.random.default_rng(3).integers(-1, 3, size=(4, 60)), np.array([0, 7, 7, 59])
+    odds = [co.by_cohesion(co.Partial(m, 3, labels, np.zeros((4, 3, 2)), np.random.default_rng(0)), i, 2.0)]
+    monkeypatch.setattr(co, "KEPT_DISTANCES", 10)
+    odds.append(co.by_cohesion(co.Partial(m, 3, labels, np.zeros((4, 3, 2)), np.random.default_rng(0)), i, 2.0))
+    assert odds[0] == pytest.approx(odds[1])
+    for algorithm in ("aco_cohesion", "aco_cohesion_refinement"):
+        assert len(co.Colony(algorithm, objective="silhouette", clusters=3, n_ants=2, n_iterations=2).fit(m).labels) == 60
