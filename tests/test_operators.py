@@ -308,3 +308,18 @@ def test_lone_node_counts_without_fallback(spark):
     nodes = spark.createDataFrame(rows, "node_id long, f array<double>, label long, weight double")
     got = {r.node_id: r.s for r in gr.silhouette(nodes, [0, 1, 9, 10], fallback=False).collect()}
     assert set(got) == {0, 1, 9} and got[9] == 0.0  # 10 has another in its cluster, but not in the sample
+
+
+def test_nearest_rows_against_differences():
+    """The product's bound keeps every neighbour: copies, far offsets that cancel, small and large blocks."""
+    rng = np.random.default_rng(2)
+    for n, offset in ((7, 0.0), (300, 1e6), (2000, 0.0), (2000, 100.0)):
+        y = rng.normal(size=(n, 5)) + offset
+        y[n // 2 :: 3] = y[0]
+        x = y[rng.permutation(n)[:280]]
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+        k = min(9, n)
+        want = np.argsort(d, axis=1, kind="stable")[:, :k]
+        i, j, dist = gr.nearest_rows(x, y, 9)
+        assert i.tolist() == np.repeat(np.arange(len(x)), k).tolist()
+        assert (j.reshape(-1, k) == want).all() and (dist.reshape(-1, k) == np.take_along_axis(d, want, axis=1)).all()
