@@ -145,3 +145,50 @@ def test_cohesion_without_kept_distances(monkeypatch):
     assert odds[0] == pytest.approx(odds[1])
     for algorithm in ("aco_cohesion", "aco_cohesion_refinement"):
         assert len(co.Colony(algorithm, objective="silhouette", clusters=3, n_ants=2, n_iterations=2).fit(m).labels) == 60
+
+
+def test_silhouettes_of_a_batch_compute_distances_once(monkeypatch):
+    """Above the kept number of nodes all ants of a batch share the distances, whatever the blocks; copies are at distance 0."""
+    m, rng = model(90), np.random.default_rng(6)
+    m.x[50:60] = m.x[3]
+    m.weight[:] = rng.random(90) + 0.5
+    labels = rng.integers(4, size=(5, 90))
+    labels[1], labels[2, 7] = 0, 9
+    chosen = np.sort(rng.choice(90, size=40, replace=False))
+    want = [[co.silhouette_term(m, row, q) for row in labels] for q in (None, chosen)]
+    monkeypatch.setattr(co, "KEPT_DISTANCES", 10)
+    monkeypatch.setattr(co, "ROWS", 32)
+    real, met = co.Model.products, []
+    monkeypatch.setattr(co.Model, "products", lambda self, q: met.append(1) or real(self, q))
+    for q, w in zip((None, chosen), want, strict=True):
+        assert co.silhouette_terms(m, labels, q) == pytest.approx(w, abs=1e-9)
+    assert len(met) == 2
+    met.clear()
+    co.Colony("aco_centroid", objective="silhouette", clusters=3, n_ants=4, n_iterations=2).fit(m)
+    assert len(met) == 2
+
+
+@pytest.mark.parametrize("heuristic", ["centroid", "graph", "spatial"])
+def test_nodes_that_do_not_see_each_other_go_together(heuristic):
+    """A pass with standing centres gives what a step for each node in turn gives, in fewer calls."""
+    m, rng = model(300, 4), np.random.default_rng(8)
+    for before in (-np.ones((4, 300), int), rng.integers(3, size=(4, 300))):
+        p = co.Partial(m, 3, before.copy(), rng.normal(size=(4, 3, 2)) * 3, rng)
+        order, pull = co.orders(rng, 4, 300), co.pulls(rng.random((300, 3)), 1.0)
+        draws, forced = rng.random((300, 4)), np.where(rng.random((300, 4)) < 0.05, 2, -1)
+        want = co.Partial(m, 3, before.copy(), p.centres, rng)
+        for i, u, own in zip(order, draws, forced, strict=True):
+            label = co.picked(rng, pull[i] * co.HEURISTICS[heuristic](want, i, 2.0), u)
+            want.put(i, np.where(own >= 0, own, label))
+        co.standing_pass(p, pull, order, draws, heuristic, 2.0, forced)
+        assert (p.labels == want.labels).all() and len(list(co.layers(m, order, heuristic == "centroid"))) < 100
+
+
+def test_cohesion_with_distances_in_single_precision(monkeypatch):
+    m, labels, i = model(), np.random.default_rng(3).integers(-1, 3, size=(4, 60)), np.array([0, 7, 7, 59])
+    monkeypatch.setattr(co, "KEPT_DISTANCES", 10)
+    assert m.kept() == pytest.approx(np.linalg.norm(m.x[:, None] - m.x[None], axis=2), rel=1e-5, abs=1e-6)
+    odds = [co.by_cohesion(co.Partial(m, 3, labels, np.zeros((4, 3, 2)), np.random.default_rng(0)), i, 2.0)]
+    monkeypatch.setattr(co, "KEPT_BYTES", 0)
+    odds.append(co.by_cohesion(co.Partial(m, 3, labels, np.zeros((4, 3, 2)), np.random.default_rng(0)), i, 2.0))
+    assert m.kept() is None and odds[0] == pytest.approx(odds[1], rel=1e-5)
