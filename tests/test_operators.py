@@ -323,3 +323,30 @@ def test_nearest_rows_against_differences():
         i, j, dist = gr.nearest_rows(x, y, 9)
         assert i.tolist() == np.repeat(np.arange(len(x)), k).tolist()
         assert (j.reshape(-1, k) == want).all() and (dist.reshape(-1, k) == np.take_along_axis(d, want, axis=1)).all()
+
+
+def test_nearest_centres_against_all():
+    rng = np.random.default_rng(3)
+    lattice = np.stack(np.divmod(np.arange(4000.0), 100), axis=1)
+    for points, centres in (
+        (lattice, lattice[rng.choice(4000, 300, replace=False)]), (lattice * [1e-3, 1], lattice[::97] * [1e-3, 1]), (lattice, np.array([[1e4, -1e4], [5.0, 5.0]])),
+        (rng.normal(size=(3000, 2)), rng.normal(size=(500, 2)) ** 3), (lattice, np.repeat(lattice[:1], 9, axis=0)), (lattice[:0], lattice[:3]),
+    ):
+        far = (points[:, None, 0] - centres[None, :, 0]) ** 2 + (points[:, None, 1] - centres[None, :, 1]) ** 2
+        assert (ra.nearest_centres(points, centres) == far.argmin(axis=1)).all()
+
+
+def test_superpixels_are_the_library_s_clusters(spark):
+    """The rounds end where those of the library do, but for cells as near to two centres."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(5)
+    cells = spark.createDataFrame([(int(r), int(c), "x") for r, c in rng.integers(0, 400, size=(900, 2))], "row int, col int, name string").coalesce(1).cache()
+    got = ra.kmeans_superpixels(cells, 30, seed=4).toPandas()
+    assert list(got.columns) == ["row", "col", "name", "superpixel"] and len(got) == 900
+    at = ra.standard_scale(cells.select(F.col("row").cast("double").alias("r"), F.col("col").cast("double").alias("c")), ["r", "c"])
+    data = VectorAssembler(inputCols=["r", "c"], outputCol="v").transform(at)
+    model = KMeans(k=30, seed=4, maxIter=10, initMode="random", featuresCol="v").fit(data)
+    want = model.transform(data).toPandas().prediction.to_numpy()
+    assert (got.superpixel.to_numpy() == want).mean() > 0.99
