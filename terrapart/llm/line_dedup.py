@@ -56,6 +56,43 @@ def shingle_set(line: str, size: int = SHINGLE) -> set[str]:
     return {line[i : i + size] for i in range(len(line) - size + 1)} if len(line) > size else {line}
 
 
+def packed(line: str) -> np.ndarray | None:
+    """The distinct shingles of a Latin line as sorted numbers, which are their eight code points; None for other and for short lines."""
+    if len(line) <= SHINGLE:
+        return None
+    try:
+        codes = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    out = np.empty(len(codes) - SHINGLE + 1, np.uint64)
+    for j in range(SHINGLE):
+        out[j::SHINGLE] = np.frombuffer(codes, "<u8", (len(codes) - j) // SHINGLE, j)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+class Shingled:
+    """A normalised line and its shingle set: as numbers where they hold it exactly, else (or beside a line without them) as strings."""
+
+    __slots__ = ("line", "numbers", "size", "strings")
+
+    def __init__(self, line: str):
+        self.line, self.numbers = line, packed(line)
+        self.strings = shingle_set(line) if self.numbers is None else None
+        self.size = len(self.strings if self.numbers is None else self.numbers)
+
+    def common(self, other: Shingled) -> int:
+        """Number of shingles in both."""
+        if self.numbers is not None and other.numbers is not None:
+            both = np.concatenate([self.numbers, other.numbers])
+            both.sort()
+            return int(np.count_nonzero(both[1:] == both[:-1]))
+        for x in (self, other):
+            if x.strings is None:
+                x.strings = shingle_set(x.line)
+        return len(self.strings & other.strings)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0x9FB21C651E98DF25)
@@ -185,18 +222,18 @@ def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     out = pa.schema([("id", pa.int64()), ("hub", pa.int64()), ("similar", pa.float64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_hub, own = None, set()
+        open_hub, own = None, None
         for batch in batches:
             ids, hubs_, found = [], [], []
             for hub, kind, i, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
-                    open_hub, own = hub, shingle_set(normalised(line))
+                    open_hub, own = hub, Shingled(normalised(line))
                     continue
-                other = shingle_set(normalised(line))
-                common = len(own & other)
+                other = Shingled(normalised(line))
+                common = own.common(other)
                 ids.append(i)
                 hubs_.append(open_hub)
-                found.append(common / (len(own) + len(other) - common))
+                found.append(common / (own.size + other.size - common))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hubs_, pa.int64()), pa.array(found, pa.float64())], schema=out)
 
     dealt = members.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
@@ -243,23 +280,23 @@ def led(rest: DataFrame, lines: DataFrame, similar: float, block_chars: int = BL
             for band, part, kind, c, i, line in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (band, part) != last:
                     last, joined, block, arrays = (band, part), {}, [], None
-                own = shingle_set(normalised(line))
+                own = Shingled(normalised(line))
                 if kind == 0:
                     block.append((c, i, own))
                     continue
                 if arrays is None:
-                    arrays = [np.array(x, np.int64) for x in zip(*((c, i, len(held)) for c, i, held in block), strict=True)] if block else [np.zeros(0, np.int64)] * 3
+                    arrays = [np.array(x, np.int64) for x in zip(*((c, i, held.size) for c, i, held in block), strict=True)] if block else [np.zeros(0, np.int64)] * 3
                 roots, ids, sizes = arrays
                 c = root(c)
-                meet = (roots != c) & (np.minimum(sizes, len(own)) >= similar * np.maximum(sizes, len(own)))
+                meet = (roots != c) & (np.minimum(sizes, own.size) >= similar * np.maximum(sizes, own.size))
                 if kind == 1:  # of two members outside the largest component, the one with the smaller id streams by
                     meet &= ids > i
                 for k in np.nonzero(meet)[0].tolist():
                     if roots[k] == c:
                         continue
                     held = block[k][2]
-                    common = len(own & held)
-                    if common >= similar * (len(own) + len(held) - common):
+                    common = own.common(held)
+                    if common >= similar * (own.size + held.size - common):
                         other = int(ids[k])
                         found.append((max(i, other), min(i, other)))
                         joined[int(roots[k])] = c
@@ -292,7 +329,7 @@ def line_components(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     roots = components(links)
     rest = written(leftovers(stars, told, roots), "lines-leftover")
     more = written(led(rest, lines, similar), "lines-led")
-    roots = components(links.unionByName(more))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     release(docs.sparkSession)
     return marked, first, written(roots, "lines-roots")
 

@@ -227,6 +227,17 @@ def test_bands_of_a_line_do_not_depend_on_other_lines():
         assert (ld.bands_of([line])[0] == bands).all()
 
 
+def test_shingles_in_common_are_exact():
+    rng = random.Random(8)
+    lines = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aé\x00ÿ", "aé\u0100", "a\ud800漢") for n in (1, 7, 8, 9, 15, 16, 17, 40, 300)]
+    lines += [x[3:] + x[:5] for x in lines] + ["a" * 50, "ab" * 20]
+    kinds = [ld.Shingled(x) for x in lines]
+    for x, a in zip(lines, kinds, strict=True):
+        assert a.size == len(ld.shingle_set(x))
+        assert [a.common(b) for b in kinds] == [len(ld.shingle_set(x) & ld.shingle_set(y)) for y in lines]
+    assert [x.numbers is None for x in map(ld.Shingled, ["a" * 8, "a" * 9, "é" * 9, "\u0100" * 9])] == [True, False, False, True]
+
+
 def test_words_end_at_fixed_characters():
     assert ld.normalised("A\u00a0b\t c\u3000\x1cd ") == "a\u00a0b c\u3000\x1cd"
 
