@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapart.llm.common import blocks, slices, text_of, written
+from terrapart.llm.common import blocks, give_back, lean, slices, text_of, written
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -247,7 +247,7 @@ def weighed(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, words), pa.int64()), pa.array([sorted(set(w)) for w in words], out.field("terms").type)], schema=out)
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
-    return items.mapInArrow(rows, "item_id bigint, text string, n_words bigint, terms array<string>").filter("n_words > 0")
+    return items.mapInArrow(lean(rows), "item_id bigint, text string, n_words bigint, terms array<string>").filter("n_words > 0")
 
 
 def indexes(benchmark: DataFrame, retrieve: float = RETRIEVE, index_bytes: int = INDEX_BYTES) -> tuple[int, Iterator[Index]]:
@@ -273,6 +273,7 @@ def searched(text: Column, index: Broadcast, overlap: float) -> Column:
         for batch in batches:
             texts = batch.to_pylist()
             yield pa.array([hits for a, b in slices(texts, 1_000_000) for hits in index.value.hits(texts[a:b], overlap)], HIT)
+        give_back()
 
     # Not declared deterministic, so that the planner leaves the search where it is and runs it once a row.
     return search.asNondeterministic()(text)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapart.llm.common import WORD_BREAKS, checkpoint_dir, let, release, slices, text_of, written
+from terrapart.llm.common import WORD_BREAKS, checkpoint_dir, lean, let, release, slices, text_of, written
 from terrapart.llm.components import components
 
 SHINGLE = 8
@@ -170,7 +170,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=SIGNED)
 
     source = identified(docs).select("__tp_id", "__tp_row", "__tp_text")
-    return source.mapInArrow(rows, SIGNED_SQL)
+    return source.mapInArrow(lean(rows), SIGNED_SQL)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -205,8 +205,8 @@ def buckets(marked: DataFrame) -> DataFrame:
             last_band, last_id, hub = band[-1], ids[-1], hubs[-1]
             yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (band, ids, hubs)], schema=star)
 
-    rows = marked.select("fresh", "bands").mapInArrow(spread, "band bigint, id bigint")
-    return rows.repartition("band").sortWithinPartitions("band", "id").mapInArrow(stars, "band bigint, id bigint, hub bigint")
+    rows = marked.select("fresh", "bands").mapInArrow(lean(spread), "band bigint, id bigint")
+    return rows.repartition("band").sortWithinPartitions("band", "id").mapInArrow(lean(stars), "band bigint, id bigint, hub bigint")
 
 
 def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hubs_, pa.int64()), pa.array(found, pa.float64())], schema=out)
 
     dealt = members.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-    return dealt.select("hub", "kind", "id", "line").mapInArrow(rows, "id bigint, hub bigint, similar double")
+    return dealt.select("hub", "kind", "id", "line").mapInArrow(lean(rows), "id bigint, hub bigint, similar double")
 
 
 def candidate_lines(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def led(rest: DataFrame, lines: DataFrame, similar: float, block_chars: int = BL
     held = met.filter("c <> main").select("band", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "c", "id", "line")
     stream = met.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.when(F.col("c") == F.col("main"), 2).otherwise(1).alias("kind"), "c", "id", "line")
     dealt = held.unionByName(stream).repartition("band", "part").sortWithinPartitions("band", "part", "kind", "id")
-    return dealt.mapInArrow(rows, "a bigint, b bigint")
+    return dealt.mapInArrow(lean(rows), "a bigint, b bigint")
 
 
 def line_components(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:

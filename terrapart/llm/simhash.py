@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapart.llm.common import blocks, text_of, written
+from terrapart.llm.common import blocks, lean, text_of, written
 from terrapart.llm.components import components, forest
 from terrapart.llm.line_dedup import mixed
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(rows, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(lean(rows), "doc_id bigint, fp bigint")
 
 
 def counts(fps: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block_rows: int = 1 << 16)
     for step in range(1, radius + 1):
         met = met.unionByName(to(step))
     dealt = met.select("block", F.col("visits").cast("int").alias("visits"), "fp").repartition("block").sortWithinPartitions("block", "visits")
-    return dealt.mapInArrow(block_links(radius), "a bigint, b bigint")
+    return dealt.mapInArrow(lean(block_links(radius)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -326,7 +326,7 @@ def candidate_nodes(sets: DataFrame, radius: int, similar: float, block_rows: in
 
         yield from met_sets(batches, radius, similar, held)
 
-    return dealt_by_size(sets, similar, block_rows).mapInArrow(rows, "node bigint").distinct()
+    return dealt_by_size(sets, similar, block_rows).mapInArrow(lean(rows), "node bigint").distinct()
 
 
 def confirmed_links(sets: DataFrame, radius: int, similar: float, shingle: int, block_rows: int) -> DataFrame:
@@ -366,7 +366,7 @@ def confirmed_links(sets: DataFrame, radius: int, similar: float, shingle: int,
 
         yield from met_sets(batches, radius, similar, held)
 
-    return dealt_by_size(sets, similar, block_rows).mapInArrow(rows, "a bigint, b bigint")
+    return dealt_by_size(sets, similar, block_rows).mapInArrow(lean(rows), "a bigint, b bigint")
 
 
 def similar_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE, block_rows: int = 1 << 16) -> DataFrame:
@@ -382,7 +382,7 @@ def similar_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * (1 + WORDS))]], names=names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("content"), text_of().alias("text"))
-    marked = source.mapInArrow(marks, ", ".join(f"{n} bigint" for n in names))
+    marked = source.mapInArrow(lean(marks), ", ".join(f"{n} bigint" for n in names))
     marked = written(marked.withColumn("content", F.when(F.col("size") == 0, 0).otherwise(F.col("content"))), "similar-marks")
     nodes = written(marked.groupBy(*names[1:]).agg(F.min("doc_id").alias("node")), "similar-nodes")
     sets = nodes.filter("size > 0 AND node IS NOT NULL")

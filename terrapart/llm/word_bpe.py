@@ -7,7 +7,7 @@ two tokens. A proposal whose pairs are all compatible is the exact encoding; onl
 exactly. Decoding joins token strings with a space, as the library does for a file without a decoder.
 
 Scale: one pass, no shuffle. Each Python worker remembers encodings of pieces of up to 64 characters between
-white space, bounded in bytes; the cache only saves time. Texts are read whole.
+white space, bounded in bytes, until it has been idle for some seconds; the cache only saves time. Texts are read whole.
 
 Edge cases: null text is empty: no tokens, empty string; the file's special tokens inside a text become their
 ids, as in the library; texts with characters outside the Latin range are normalised and cut by the library,
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import threading
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapart.llm.common import slices, text_of
+from terrapart.llm.common import give_back, lean, slices, text_of
 
 #: Bytes of pieces and their ids remembered in each of two generations, and the longest piece remembered; what is
 #: still in use moves on to the newer generation.
 CACHE_BYTES = 48 << 20
 CACHE_CHARS = 64
 SLICE_CHARS = 2_000_000
+#: A worker that has encoded nothing for so long lets go of its codec.
+IDLE_SECONDS = 5.0
 #: Words of a normalised Latin text: contractions, letters, single digits, other signs.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters on which Python's classes and the library's may differ, and control characters that do not stand for
@@ -261,6 +264,29 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def forget() -> None:
+    """Let go of the codecs; a task that still uses one keeps it until its end."""
+    codec.cache_clear()
+    give_back()
+
+
+idle: threading.Timer | None = None
+
+
+def rest(seconds: float | None = None) -> None:
+    """Forget, unless a task begins within IDLE_SECONDS: an idle worker counts as its executor's memory for a minute."""
+    global idle
+    wake()
+    idle = threading.Timer(IDLE_SECONDS if seconds is None else seconds, forget)
+    idle.daemon = True
+    idle.start()
+
+
+def wake() -> None:
+    if idle is not None:
+        idle.cancel()
+
+
 def encoded(text: Column, path: str) -> Column:
     """array<int> of token ids."""
 
@@ -303,6 +329,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wake()
         own = codec(path)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
@@ -312,9 +339,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 told = [sha(" ".join([own.decimal[i] for i in row])) for row in ids]
                 back = [sha(own.decode(row)) for row in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(len, ids), pa.int64()), pa.array(told), pa.array(back)], names=names)
+        rest()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return source.mapInArrow(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(lean(rows), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
