@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from fixtures import awkward, empty
+from fixtures import awkward, empty, stored
 from pyspark.sql import functions as F
 
 from terrapart.llm import line_dedup as ld
@@ -301,3 +301,18 @@ def test_repeats_awkward(spark):
     got = rp.remove_repeats(docs, 60, 20).select("doc_id", "n_bytes", "n_removed", "n_spans", digest).collect()
     assert Counter((r[0], tuple(r[1:])) for r in got) == want
     assert rp.remove_repeats(empty(spark)).count() == 0
+
+
+def test_repeats_catch_planted_passages(spark, tmp_path):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdeéf") for _ in range(rng.randint(3, 6))) for _ in range(n))
+    passages = [words(80).encode()[:n].decode(errors="ignore") for n in (*range(396, 405), 430)] + [words(51 + i) for i in range(20)]
+    clean = [words(rng.randint(0, 200)) for _ in range(30)]
+    texts = [f"{words(30)}{left}{p}{right}{words(30)}" for p in passages for left, right in ("<>", "{}")] + clean
+    assert all(len(p.split()) > 50 for p in passages)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    path = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), tmp_path)
+    got = [tuple(r[1:]) for r in sorted(rp.op9_repeats(spark, path).collect())]
+    sizes = [len(p.encode()) for p in passages for _ in range(2)]
+    assert [r[1] for r in got] == [n if n >= 400 else 0 for n in sizes] + [0] * len(clean)
+    assert got == brute_repeats([t.encode() for t in texts], 400)
