@@ -46,6 +46,8 @@ SEED = 42
 RADIUS = 3
 BITS = 64
 TILE = 512
+#: Rows of a tile that near_sets compares at once: what it holds of them stays in a core's cache.
+ROWS = 64
 #: The form for a similarity: words of a shingle, Jaccard index, 64-bit words of a fingerprint, shingles a block holds.
 SIMILAR_SHINGLE = 5
 SIMILAR = 0.8
@@ -231,30 +233,40 @@ def reach(similar: float, bits: int = BITS * WORDS) -> int:
 
 
 class Sets:
-    """Fingerprints (a row of words each) and shingle counts, in the order of the counts, with ranges of each tile."""
+    """Fingerprints (a row for each word) and shingle counts, in the order of the counts, with ranges of each tile."""
 
     def __init__(self, size: np.ndarray, fps: np.ndarray):
         self.order = np.argsort(size, kind="stable")
-        self.size, self.fps = size[self.order], fps[self.order]
+        self.size, self.words = size[self.order], np.ascontiguousarray(fps[self.order].T)
         self.starts = np.arange(0, len(size), TILE)
-        found = np.bitwise_count(self.fps).astype(np.int16)
+        found = np.bitwise_count(self.words.T).astype(np.int16)
         self.low, self.high = (f.reduceat(found, self.starts, axis=0) for f in (np.minimum, np.maximum))
         self.least, self.most = self.size[self.starts], self.size[np.minimum(self.starts + TILE, len(size)) - 1]
 
 
 def near_sets(left: Sets, right: Sets, radius: int, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius whose sizes allow the index, in pieces of one tile pair."""
+    """Index pairs within the radius whose sizes allow the index, in pieces of one tile pair.
+
+    Sizes are compared only for pairs within the radius, and counts of differing bits stay in bytes.
+    """
     for k, start in enumerate(left.starts):
         apart = np.maximum(right.low - left.high[k], left.low[k] - right.high).clip(0).sum(axis=1) > radius
         apart |= (left.most[k] < similar * right.least) | (right.most < similar * left.least[k])
-        size, own = left.size[start : start + TILE, None], left.fps[start : start + TILE, None]
+        found = []
         for other in right.starts[~apart]:
-            its = right.size[None, other : other + TILE]
-            near = np.minimum(size, its) >= similar * np.maximum(size, its)
-            near &= np.bitwise_count(own ^ right.fps[None, other : other + TILE]).sum(axis=2, dtype=np.uint16) <= radius
-            if near.any():
-                i, j = np.nonzero(near)
-                yield left.order[start + i], right.order[other + j]
+            for first in range(start, min(start + TILE, len(left.size)), ROWS):
+                theirs = right.words[:, None, other : other + TILE]
+                differ = np.bitwise_count(left.words[0, first : min(first + ROWS, start + TILE), None] ^ theirs[0])
+                for w in range(1, WORDS):
+                    differ += np.bitwise_count(left.words[w, first : min(first + ROWS, start + TILE), None] ^ theirs[w])
+                i, j = np.divmod(np.flatnonzero(differ <= radius), differ.shape[1])
+                i, j = i + first, j + other
+                fits = np.minimum(left.size[i], right.size[j]) >= similar * np.maximum(left.size[i], right.size[j])
+                found.append((i[fits], j[fits]))
+            i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+            found.clear()
+            if len(i):
+                yield left.order[i], right.order[j]
 
 
 def size_strip(size: Column, similar: float) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -99,6 +100,22 @@ def test_similar_documents(spark, block):
     assert len(set(want.tolist())) < len(texts) - 60
 
 
+def test_near_sets_hold_little_at_once():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**63, (1100, sh.WORDS)).astype(np.uint64)
+    fps[550:] = fps[:550] ^ (np.uint64(1) << rng.integers(0, 63, (550, sh.WORDS)).astype(np.uint64))
+    size = rng.integers(80, 130, len(fps))
+    left, right = sh.Sets(size[:600], fps[:600]), sh.Sets(size[500:], fps[500:])
+    tracemalloc.start()
+    got = {(int(a), int(b) + 500) for i, j in sh.near_sets(left, right, 32, 0.8) for a, b in zip(i, j, strict=True)}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    bits = np.bitwise_count(fps[:600, None] ^ fps[None, 500:]).sum(axis=2)
+    fits = np.minimum(size[:600, None], size[None, 500:]) >= 0.8 * np.maximum(size[:600, None], size[None, 500:])
+    assert got == {(int(a), int(b) + 500) for a, b in zip(*np.nonzero((bits <= 32) & fits), strict=True)}
+    assert len(got) > 400 and most < 2_000_000
+
+
 def test_large_family_is_confirmed_without_all_pairs(spark):
     rng = random.Random(2)
     base = [str(rng.randrange(10**6)) for _ in range(120)]
