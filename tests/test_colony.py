@@ -192,3 +192,12 @@ def test_cohesion_with_distances_in_single_precision(monkeypatch):
     monkeypatch.setattr(co, "KEPT_BYTES", 0)
     odds.append(co.by_cohesion(co.Partial(m, 3, labels, np.zeros((4, 3, 2)), np.random.default_rng(0)), i, 2.0))
     assert m.kept() is None and odds[0] == pytest.approx(odds[1], rel=1e-5)
+
+
+def test_model_is_collected_without_rows_of_objects(spark, monkeypatch):
+    nodes = spark.createDataFrame([(7, [1.0, 2.0], 1.0), (3, [0.0, 1.0], 2.0), (5, [4.0, 1.0], 3.0)], "node_id long, f array<double>, weight double")
+    edges = spark.createDataFrame([(a, r, b) for a, near in ((3, (5, 7)), (5, (7, 3)), (7, (3, 5))) for r, b in enumerate(near, 1)], "src long, rank int, dst long")
+    monkeypatch.setattr(type(nodes), "toPandas", None)
+    model, ids = co.collect_model(nodes, edges.orderBy("rank", ascending=False), edges.selectExpr("src a", "dst b", "1.0d weight"))
+    assert ids.tolist() == [3, 5, 7] and model.x.tolist() == [[0.0, 1.0], [4.0, 1.0], [1.0, 2.0]] and model.weight.tolist() == [2.0, 3.0, 1.0]
+    assert model.near.tolist() == [[1, 2], [2, 0], [0, 1]] and sorted(zip(*model.snn, strict=True)) == [(0, 1, 1.0), (0, 2, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 0, 1.0), (2, 1, 1.0)]
