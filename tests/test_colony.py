@@ -194,6 +194,38 @@ def test_cohesion_with_distances_in_single_precision(monkeypatch):
     assert m.kept() is None and odds[0] == pytest.approx(odds[1], rel=1e-5)
 
 
+def test_silhouettes_of_ranges_of_nodes():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(900, 6)), np.repeat(rng.normal(size=(3, 6)), 100, axis=0)]) + 50.0
+    model = co.Model(x, rng.random(len(x)) + 0.1, np.zeros((len(x), 2), int))
+    labelings = np.stack([rng.integers(0, 4, len(x)), (x[:, 0] > 50).astype(int), np.repeat([0, 1], [len(x) - 1, 1]), np.zeros(len(x), int)])
+    want = co.silhouette_terms(model, labelings)
+    for single, most in ((False, 1e-9), (True, 1e-5)):
+        above, below = sum(co.silhouette_shares(model, labelings, a, b, single) for a, b in ((0, 1), (1, 700), (700, 1200))).T
+        assert abs((1 - above / below) / 2 - want).max() < most
+
+
+@pytest.mark.parametrize("algorithm", ["aco_centroid", "aco_cohesion", "multi_cohesion_graph_spatial"])
+def test_large_fit_is_spread_over_tasks(spark, monkeypatch, algorithm):
+    monkeypatch.setattr(co, "KEPT_DISTANCES", 50)
+    tasks = []
+    plain = co.in_tasks
+    monkeypatch.setattr(co, "in_tasks", lambda s, n, make: tasks.append(n) or plain(s, n, make))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 4))
+    model = co.Model(x, np.ones(120), rng.integers(0, 120, (120, 4)), (np.arange(119), np.arange(1, 120), np.ones(119)))
+    configs = spark.createDataFrame([(1, 0, algorithm, "all_ants", "silhouette", 1.0, 1.0, 0.1, 0.05), (2, 0, "none", "all_ants", "snn", 1.0, 1.0, 0.1, 0.05)], "run_id long, seed long, algorithm string, pheromone_update string, fitness_name string, alpha double, beta double, evaporation double, q double")
+    rows = {r.run_id: r for r in co.run_configs(configs, model, n_ants=5, n_iterations=2, clusters=3).collect()}
+    assert rows[2].status == "failed" and "unknown algorithm" in rows[2].error
+    found = rows[1]
+    labels = np.array(found.labels)
+    assert found.status == "ok" and max(tasks) > 1 and set(labels) <= {0, 1, 2}
+    want = 0.7 * co.silhouette_term(model, labels) + 0.3 * co.rough_edges(model, labels)
+    assert [found.best_fitness, found.recomputed_fitness] == pytest.approx([want, want], abs=1e-9)
+    again = co.run_configs(configs, model, n_ants=5, n_iterations=2, clusters=3).filter("run_id = 1").first()
+    assert again.labels == found.labels
+
+
 def test_model_is_collected_without_rows_of_objects(spark, monkeypatch):
     nodes = spark.createDataFrame([(7, [1.0, 2.0], 1.0), (3, [0.0, 1.0], 2.0), (5, [4.0, 1.0], 3.0)], "node_id long, f array<double>, weight double")
     edges = spark.createDataFrame([(a, r, b) for a, near in ((3, (5, 7)), (5, (7, 3)), (7, (3, 5))) for r, b in enumerate(near, 1)], "src long, rank int, dst long")
